@@ -12,6 +12,7 @@ rows, and both sides of the exchange are of bounded size at any corpus size.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +57,60 @@ def runs(values: np.ndarray) -> np.ndarray:
     if not len(values):
         return np.zeros(0, np.int64)
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+
+
+COUNTS = "bucket int, block int, keys binary, counts binary"
+"""One row per block and bucket: the lower half of each key (uint32, sorted), and a count of each (uint32)."""
+_COUNTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def packed_counts(keys: list[np.ndarray], n_buckets: int, block: int) -> pa.Table:
+    """A block's keys, counted, for each bucket.
+
+    Within a bucket a key is known by its lower 32 bits.  That is enough for a frequency:
+    keys that fall together only look more frequent, alike in all blocks.
+    """
+    every = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    bounds = cuts(every, n_buckets)
+    rows = []
+    for b in np.flatnonzero(np.diff(bounds)):
+        low = np.sort(every[bounds[b] : bounds[b + 1]].astype(np.uint32))
+        at = runs(low)
+        rows.append({"bucket": int(b), "block": block, "keys": low[at].tobytes(), "counts": np.diff(np.append(at, len(low))).astype(np.uint32).tobytes()})
+    return pa.Table.from_pylist(rows, schema=_COUNTS)
+
+
+def shared_counts(table: pa.Table) -> pa.Table:
+    """A bucket's answer to each block: its keys with a total count of two or more, and these totals."""
+    parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
+    every = np.concatenate(parts)
+    order = np.argsort(every, kind="stable")
+    at = runs(every[order])
+    total = np.empty(len(every), np.int64)
+    total[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), at), np.diff(np.append(at, len(every))))
+    total = np.minimum(total, 2**32 - 1).astype(np.uint32)
+    keys_out, counts_out, base = [], [], 0
+    for part in parts:
+        mine = total[base : base + len(part)]
+        keys_out.append(part[mine >= 2].tobytes())
+        counts_out.append(mine[mine >= 2].tobytes())
+        base += len(part)
+    return pa.table([table.column("bucket"), table.column("block"), pa.array(keys_out, pa.binary()), pa.array(counts_out, pa.binary())], schema=_COUNTS)
+
+
+class Frequencies:
+    """A block's lookup of the totals that :func:`shared_counts` sent it; 1 for any other key."""
+
+    def __init__(self, replies: pa.Table, n_buckets: int):
+        self.n = n_buckets
+        keys = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for x, b in zip(replies.column("keys"), replies.column("bucket").to_pylist())]
+        known = np.concatenate([*keys, np.array([2**64 - 1], np.uint64)])
+        total = np.concatenate([*(np.frombuffer(x.as_py(), np.uint32) for x in replies.column("counts")), np.ones(1, np.uint32)])
+        order = np.argsort(known, kind="stable")
+        self.known, self.total = known[order], total[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        short = bucket_of(keys, self.n) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+        at = np.searchsorted(self.known, short)
+        return np.where(self.known[at] == short, self.total[at], 1)

@@ -60,67 +60,25 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return gram, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-
 def _sender(k: int, n_buckets: int):
     def send(table: pa.Table) -> pa.Table:
         grams = [shingles(texts_of(p.column("text")), k)[0] for p in pieces(table)]
-        all_keys = np.sort(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        bounds = B.cuts(all_keys, n_buckets)
-        out = {"bucket": [], "keys": [], "counts": []}
-        for b in range(n_buckets):
-            low = np.sort(all_keys[bounds[b] : bounds[b + 1]].astype(np.uint32))
-            if len(low):
-                at = B.runs(low)
-                out["bucket"].append(b)
-                out["keys"].append(low[at].tobytes())
-                out["counts"].append(np.diff(np.append(at, len(low))).astype(np.uint32).tobytes())
-        out["block"] = [table.column("block")[0].as_py()] * len(out["bucket"])
-        return pa.table({f.name: pa.array(out[f.name], f.type) for f in _SENT}, schema=_SENT)
+        return B.packed_counts(grams, n_buckets, table.column("block")[0].as_py())
 
     return send
 
 
-def _frequencies(table: pa.Table) -> pa.Table:
-    """For each block, the keys that two documents or more hold, with their number."""
-    parts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")])
-    every = np.concatenate(parts)
-    order = np.argsort(every, kind="stable")
-    ranked = every[order]
-    at = B.runs(ranked)
-    total = np.add.reduceat(counts[order].astype(np.int64), at)
-    df = np.empty(len(every), np.int64)
-    df[order] = np.repeat(total, np.diff(np.append(at, len(every))))
-    keys_out, df_out, base = [], [], 0
-    for part in parts:
-        mine = df[base : base + len(part)]
-        shared = mine >= 2
-        keys_out.append(part[shared].tobytes())
-        df_out.append(np.minimum(mine[shared], 2**32 - 1).astype(np.uint32).tobytes())
-        base += len(part)
-    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "keys": pa.array(keys_out, pa.binary()), "counts": pa.array(df_out, pa.binary())}, schema=_SENT)
-
-
 _SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("n_own", pa.int64()), ("fp_a", pa.int64()), ("fp_b", pa.int64()), ("parity", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 _SETS_SQL = "doc_id long, n long, n_own long, fp_a long, fp_b long, parity array<long>, tokens array<long>"
 
 
 def _ranker(k: int, n_buckets: int, percent: int):
     def rank(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        heads = [np.uint64(b) << np.uint64(32) for b in replies.column("bucket").to_pylist()]
-        keys = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | b for x, b in zip(replies.column("keys"), heads)]
-        known = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        freq = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in replies.column("counts")]) if keys else np.zeros(0, np.uint32)
-        order = np.argsort(known)
-        known, freq = np.append(known[order], np.uint64(2**64 - 1)), np.append(freq[order], np.uint32(1))
+        known = B.Frequencies(replies, n_buckets)
         out = []
         for p in pieces(docs):
             gram, first = shingles(texts_of(p.column("text")), k)
-            short = B.bucket_of(gram, n_buckets) << np.uint64(32) | gram & np.uint64(0xFFFFFFFF)
-            at = np.searchsorted(known, short)
-            df = np.where(known[at] == short, freq[at], 1)
+            df = known.of(gram)
             size = np.diff(first)
             shared = np.add.reduceat(np.append((df >= 2).astype(np.int64), 0), np.minimum(first[:-1], len(df))) * (size > 0)
             picked = np.flatnonzero((size > 0) & (100 * shared >= percent * size))
@@ -146,8 +104,8 @@ def shingle_sets(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     total = B.text_bytes(docs)
     n_buckets = B.bucket_count(total)
     dealt = B.dealt(docs, total)
-    sent = dealt.groupBy("block").applyInArrow(_sender(k, n_buckets), "bucket int, block int, keys binary, counts binary")
-    replies = sent.groupBy("bucket").applyInArrow(_frequencies, "bucket int, block int, keys binary, counts binary")
+    sent = dealt.groupBy("block").applyInArrow(_sender(k, n_buckets), B.COUNTS)
+    replies = sent.groupBy("bucket").applyInArrow(B.shared_counts, B.COUNTS)
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_ranker(k, n_buckets, percent), _SETS_SQL)
 
 
