@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from oreflow.llm import toxicity as tox
+from oreflow.llm.hmm_lm import hmm_scores
 from oreflow.llm.ngram_join import ngram_components
+from oreflow.llm.substring_dedup import kept_digest, substring_dedup
+from oreflow.llm.url_filter import Rule, url_verdicts
+
+URL_RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +24,33 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def _remainder(column: str, by: int) -> Column:
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))
+
+
+def op2_hmm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm_scores(_table(spark, sf_dir, "documents"), _remainder("doc_id", 7) != 2)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digest(substring_dedup(_table(spark, sf_dir, "documents"), window=13))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = tox.trained(docs, labels.filter(_remainder("doc_id", 5) != 0))
+    held = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    return tox.toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join}
+    every = [op1_ngram_join, op2_hmm_scoring, op3_url_filter, op4_substring_dedup, op6_toxicity]
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

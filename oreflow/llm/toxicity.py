@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreflow.llm.words import Words, pieces, texts_of, words
+from oreflow.llm.words import Words, mix, pieces, texts_of, words
 
 FEATURES = 1 << 18
-TRAIN_ROWS = 8000
+PREFIXES = (4, 5, 6)
+"""A word also counts as its first bytes, so inflected forms share what is learned of their stem."""
+TRAIN_ROWS = 5000
 """Bound of the labelled sample that the classifier is fitted on."""
-ROUNDS = 150
+ROUNDS = 160
 MIN_DOCS = 4
-"""Words in fewer training documents carry no weight."""
+"""Features in fewer training documents carry no weight."""
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 _MARK = np.zeros(256, bool)
@@ -33,9 +35,10 @@ _MARK[[c for c in range(0x21, 0x80) if not chr(c).isalnum()]] = True
 
 @dataclass
 class Bags:
-    """Feature of every word, sentence of every word, document of every sentence, first word of every sentence."""
+    """Features of every word (a row for the word and for each prefix; FEATURES where it has none), sentence of
+    every word, document of every sentence, first word of every sentence."""
 
-    feature: np.ndarray
+    features: np.ndarray
     sentence: np.ndarray
     doc: np.ndarray
     first: np.ndarray
@@ -57,9 +60,12 @@ def bags(w: Words) -> Bags:
     for _ in range(4):
         start += _MARK[w.data[start]] & (end - start > 1) if n else 0
         end -= _MARK[w.data[end - 1]] & (end - start > 1) if n else 0
-    feature = (Words(w.data, start, end, w.first).hashes() % np.uint64(FEATURES)).astype(np.int64)
+    rows = [(Words(w.data, start, end, w.first).hashes() % np.uint64(FEATURES)).astype(np.int32)]
+    for size in PREFIXES:
+        head = mix(Words(w.data, start, np.minimum(start + size, end), w.first).hashes() + np.uint64(size))
+        rows.append(np.where(end - start > size, head % np.uint64(FEATURES), np.uint64(FEATURES)).astype(np.int32))
     first = np.flatnonzero(new)
-    return Bags(feature, np.cumsum(new) - 1, doc[first], first)
+    return Bags(np.stack(rows), (np.cumsum(new) - 1).astype(np.int32), doc[first], first)
 
 
 @dataclass
@@ -69,7 +75,7 @@ class Model:
 
     def sentences(self, b: Bags) -> np.ndarray:
         """Log-odds of every sentence."""
-        return self.bias + np.bincount(b.sentence, weights=self.weight[b.feature], minlength=len(b.doc))
+        return self.bias + sum(np.bincount(b.sentence, weights=self.weight[row], minlength=len(b.doc)) for row in b.features)
 
 
 def noisy_or(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -77,18 +83,21 @@ def noisy_or(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=np.logaddexp(0, z), minlength=n)
 
 
-def fit(texts: list[str | None], toxic: list[int], decay: float = 1e-4, rate: float = 0.1) -> Model:
+def fit(texts: list[str | None], toxic: list[int], decay: float = 2e-5, rate: float = 0.1) -> Model:
     """Full-batch Adam on the noisy-or's log loss."""
     b, y = bags(words(texts_of(pa.array(texts, pa.string())), lower=True)), np.asarray(toxic, float)
-    model = Model(np.zeros(FEATURES), -6.0)
-    if not len(b.feature) or y.min() == y.max():
-        return Model(np.zeros(FEATURES), -6.0 if not y.any() else 0.0)
-    pair = np.unique(b.feature * len(y) + b.doc[b.sentence]) // len(y)
-    used = np.flatnonzero(np.bincount(pair, minlength=FEATURES) >= MIN_DOCS)
-    at = np.full(FEATURES, len(used))
+    model = Model(np.zeros(FEATURES + 1), -6.0)
+    if not b.features.size or y.min() == y.max():
+        return model
+    owner, n = b.doc[b.sentence], np.int64(len(y))
+    holders = sum(np.bincount(np.unique(row * n + owner) // n, minlength=FEATURES + 1) for row in b.features)
+    used = np.flatnonzero(holders[:FEATURES] >= MIN_DOCS)
+    at = np.full(FEATURES + 1, -1, np.int32)
     at[used] = np.arange(len(used))
-    hit = at[b.feature] < len(used)
-    feature, sentence = at[b.feature][hit], b.sentence[hit]
+    feature = at[b.features]
+    hit = feature >= 0
+    feature, sentence = feature[hit], np.broadcast_to(b.sentence, hit.shape)[hit]
+    del hit, owner
     theta, m, v = np.append(np.zeros(len(used)), model.bias), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, ROUNDS + 1):
         z = theta[-1] + np.bincount(sentence, weights=theta[feature], minlength=len(b.doc))
@@ -99,6 +108,7 @@ def fit(texts: list[str | None], toxic: list[int], decay: float = 1e-4, rate: fl
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        theta[:-1] = np.maximum(theta[:-1], 0)
     model.weight[used], model.bias = theta[:-1], float(theta[-1])
     return model
 
@@ -111,7 +121,7 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS).collect()
-    return fit([r.text for r in rows], [r.toxic for r in rows]) if rows else Model(np.zeros(FEATURES), -6.0)
+    return fit([r.text for r in rows], [r.toxic for r in rows]) if rows else Model(np.zeros(FEATURES + 1), -6.0)
 
 
 _SENTENCES = pa.list_(pa.struct([("word", pa.int64()), ("words", pa.int64()), ("score", pa.float64())]))
