@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +99,10 @@ _BEST = "page_id long, host string, path string, rule string, verdict string, de
 
 
 def _matcher(shared):
-    """shared: a broadcast trie."""
+    """shared: a broadcast trie, pickled so that workers without this package can read it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie: Trie = shared.value
+        trie: Trie = cloudpickle.loads(shared.value)
         for batch in batches:
             rows = batch.to_pydict()
             for i, (host, path) in enumerate(zip(rows["host"], rows["path"])):
@@ -125,5 +126,5 @@ def url_verdicts(pages: DataFrame, rules: Iterable[Rule], default: str = "allow"
     rules, spark = list(rules), pages.sparkSession
     judged = with_host_and_path(pages.select("page_id", "url")).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(-1).alias("depth"), F.lit(-1).alias("length"))
     for at in range(0, len(rules), MAX_RULES):
-        judged = judged.mapInArrow(_matcher(spark.sparkContext.broadcast(Trie(rules[at : at + MAX_RULES]))), _BEST)
+        judged = judged.mapInArrow(_matcher(spark.sparkContext.broadcast(cloudpickle.dumps(Trie(rules[at : at + MAX_RULES])))), _BEST)
     return judged.drop("depth", "length")
