@@ -27,15 +27,14 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def dealt(docs: DataFrame, total: int, id_col: str = "doc_id") -> DataFrame:
-    """Columns (doc_id, text, block): documents dealt to blocks by a hash of id and text length.
+def dealt(docs: DataFrame, total: int, carry: tuple = ()) -> DataFrame:
+    """Columns (doc_id, text, block, and those to carry along): documents dealt to blocks by a hash of id and text length.
 
     The length is hashed too so that rows sharing one id (nulls, repeated rows) do not
     meet in one block for that reason.
     """
     n = max(1, -(-total // BLOCK_BYTES))
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col("text"))
-    return picked.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
+    return docs.select("doc_id", "text", *carry).withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
 
 
 def bucket_count(total: int) -> int:

@@ -153,11 +153,13 @@ def _starting_point(texts: list[str | None], k: int, seed: int) -> Model:
 def trained(train: DataFrame, states: int = 6, seed: int = 0) -> Model:
     """Baum-Welch over all texts of ``train`` (column text).
 
-    A bounded sample of START_TEXTS rows (smallest hashes of their text) gives the starting
-    point; FULL_ROUNDS rounds then cover every row.
+    A bounded sample of START_TEXTS distinct texts (those with the smallest hashes, which are
+    found on the hashes alone) gives the starting point; FULL_ROUNDS rounds then cover every row.
     """
-    sample = train.select("text").orderBy(F.xxhash64("text"), "text").limit(START_TEXTS).collect()
-    model = _starting_point([r.text for r in sample], states, seed)
+    marked = train.select("text", F.xxhash64("text").alias("h"))
+    last = marked.select("h").distinct().orderBy("h").limit(START_TEXTS).agg(F.max("h")).first()[0]
+    sample = marked.filter(F.col("h") <= last).dropDuplicates(["h"]).collect() if last is not None else []
+    model = _starting_point([r.text for r in sorted(sample, key=lambda r: r.h)], states, seed)
     for _ in range(FULL_ROUNDS):
         total = train.select("text").mapInArrow(_e_step(model), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         cells = np.zeros(len(Counts(model.start, model.step, model.emit).cells()))
@@ -285,8 +287,7 @@ def hmm_scores(docs: DataFrame, is_train: Column, states: int = 6, seed: int = 0
     marked = docs.select("doc_id", "text", flag.alias("train"))
     total = B.text_bytes(marked)
     n_buckets = B.bucket_count(total)
-    n_blocks = max(1, -(-total // B.BLOCK_BYTES))
-    dealt = marked.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int"))
+    dealt = B.dealt(marked, total, ("train",))
     replies = kept(dealt.groupBy("block").applyInArrow(_send_words(n_buckets), _SENT).groupBy("bucket").applyInArrow(_count_words, _REPLY), "word-counts")
     sums = replies.filter("block IS NULL").select(F.explode(F.arrays_zip("symbol", "vocab", "total")).alias("x")).groupBy("x.symbol").agg(F.sum("x.vocab").alias("vocab"), F.sum("x.total").alias("total")).collect()
     train = marked.filter("train")

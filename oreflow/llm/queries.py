@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oreflow.llm import chat_format as chat
+from oreflow.llm import mixing
 from oreflow.llm import toxicity as tox
+from oreflow.llm.decontaminate import contaminated
 from oreflow.llm.hmm_lm import hmm_scores
 from oreflow.llm.ngram_join import ngram_components
+from oreflow.llm.quality import quality
+from oreflow.llm.scratch import kept, new_path
 from oreflow.llm.substring_dedup import kept_digest, substring_dedup
 from oreflow.llm.url_filter import Rule, url_verdicts
+from oreflow.llm.warc import WarcDataSource
 
 URL_RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
@@ -41,6 +47,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(substring_dedup(_table(spark, sf_dir, "documents"), window=13))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = tox.trained(docs, labels.filter(_remainder("doc_id", 5) != 0))
@@ -48,8 +58,49 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tox.toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("sentences").alias("n_offending"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = kept(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
+    sources = kept(mixing.source_table(docs), "sources")
+    out = mixing.mixed(docs, mixing.cyclic_weights(sources), sources, max_epochs=3.0)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digests(chat.formatted(turns))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as WARC archives in the shared folder and reads these back."""
+    spark.dataSource.register(WarcDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    large = F.col("payload_bytes") >= 1000
+    # only payloads that stand more than once need a row here
+    last = pages.filter(large).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    urn = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    records = pages.join(last, ["payload_digest", "payload_bytes"], "left").select(
+        urn("page_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("date"),
+        F.when(again, urn("last")).alias("refers_to"), "payload_digest", "payload_bytes", F.when(~again, F.col("payload")).alias("payload"),
+    )
+    path = new_path(spark, "warc")
+    records.write.format("warc").mode("append").save(path)
+    page = lambda c: F.expr(f"try_cast(substring({c}, 12) AS BIGINT)")
+    responses = spark.read.format("warc").load(path).filter("record_type = 'response'").select(page("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    revisits = spark.read.format("warc").option("payload", "false").load(path).filter("record_type = 'revisit'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    return responses.unionByName(revisits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_ngram_join, op2_hmm_scoring, op3_url_filter, op4_substring_dedup, op6_toxicity]
+    every = [op1_ngram_join, op2_hmm_scoring, op3_url_filter, op4_substring_dedup, op5_decontamination, op6_toxicity, op7_mixing, op8_quality_rules, op9_chat_format, op10_warc]
     return {f.__name__: f for f in every}
 
 

@@ -1,43 +1,5 @@
-"""Intermediate tables in the folder that all executors share.
+"""Intermediate tables in the shared folder, as the operators of this subpackage use them."""
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as
-in tests on one machine) a temporary local folder is chosen and set.
-"""
+from oreflow.functions.storage import dropped, kept, new_path, shared_folder
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder as a URI, without a trailing slash."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="oreflow-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/oreflow/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._oreflow_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that :func:`kept` wrote and nothing reads any more."""
-    spark, path = df.sparkSession, df._oreflow_path
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+__all__ = ["dropped", "kept", "new_path", "shared_folder"]

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from oreflow.llm import blocks as B
 from oreflow.llm.words import Words, pieces, texts_of, words
@@ -121,7 +122,7 @@ def _factors(source: np.ndarray, at: np.ndarray, window: int) -> list[dict]:
     return [{"start": int(at[a]), "words": int(b - a) + window - 1, "reference": int(source[a])} for a, b in zip(cut[:-1], cut[1:])]
 
 
-def _parse(window: int):
+def _parse(window: int, carry: tuple[str, ...]):
     def parse(docs: pa.Table, replies: pa.Table) -> pa.Table:
         batches = []
         for p in pieces(docs):
@@ -152,8 +153,9 @@ def _parse(window: int):
                 text = pa.array(text, pa.string())
             spans = [_factors(source[a:b], at[a:b] - w.first[d], window) if b > a else [] for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
             ids = p.column("doc_id").combine_chunks().cast(pa.int64())
-            out.append(pa.table([ids, text.cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, _SPANS)], schema=_CUT))
-        return pa.concat_tables(out) if out else _CUT.empty_table()
+            columns = [ids, text.cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, _SPANS), *(p.column(c) for c in carry)]
+            out.append(pa.table(columns, names=[*_CUT.names, *carry]))
+        return pa.concat_tables(out)
 
     return parse
 
@@ -169,13 +171,14 @@ def _without(raw: bytes, w: Words, a: int, b: int, gone: np.ndarray) -> str:
     return b"".join(keep).decode("utf-8")
 
 
-def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cut out every word that a window of ``window`` words covers which an earlier document holds.
 
     ``docs``: (doc_id long, text string, ...); other columns are ignored.  Windows are judged
     on the texts as given, case and all, not on what is left of them.  Returns one row per
     input row: doc_id, text (what is left; untouched texts are returned as they are), n_words,
-    n_removed, spans (the factors: start word, words, reference doc_id).
+    n_removed, spans (the factors: start word, words, reference doc_id), and the columns named in
+    ``carry``.
 
     Null and wordless texts have no words and keep their value; a text of which all words go
     becomes empty.  A null doc_id counts as greater than all others and is never a reference;
@@ -183,11 +186,11 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     total = B.text_bytes(docs)
     n_buckets = B.bucket_count(total)
-    dealt = B.dealt(docs, total)
+    dealt = B.dealt(docs, total, carry)
     anchors = dealt.groupBy("block").applyInArrow(_send_anchors(window, n_buckets), B.COUNTS).groupBy("bucket").applyInArrow(B.shared_counts, B.COUNTS)
     by_block = dealt.groupBy("block")
     index = by_block.cogroup(anchors.groupBy("block")).applyInArrow(_send_windows(window, n_buckets), WINDOWS).groupBy("bucket").applyInArrow(_index_block, WINDOWS)
-    return by_block.cogroup(index.groupBy("block")).applyInArrow(_parse(window), _CUT_SQL)
+    return by_block.cogroup(index.groupBy("block")).applyInArrow(_parse(window, carry), StructType([*StructType.fromDDL(_CUT_SQL), *(docs.schema[c] for c in carry)]))
 
 
 def kept_digest(cut: DataFrame) -> DataFrame:
