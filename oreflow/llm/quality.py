@@ -53,6 +53,15 @@ def _line_words(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.size(words_of(x)))
 
 
+def _here(value: Column) -> Column:
+    """The value, behind a guard that is always true but not deterministic.
+
+    Without it a later filter on the value would be pushed below the columns it is made from, and
+    these would be written out inside its lambda functions, to be computed again for every element.
+    """
+    return F.when(F.rand(0) >= 0, value)
+
+
 def statistics(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) for the column text.
 
@@ -83,7 +92,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             "word_chars": F.length(F.array_join("_w", "")).cast("long"),
             "n_symbols": F.length(F.regexp_replace(text, "[^" + "".join("\\" + c for c in SYMBOLS) + "]+", "")).cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_repeat_words": F.coalesce(F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda s, x: F.struct((s["n"] + F.least(x - s["at"], F.lit(3))).alias("n"), x.alias("at")))["n"], F.lit(0)).cast("long"),
+            "n_repeat_words": _here(F.coalesce(F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda s, x: F.struct((s["n"] + F.least(x - s["at"], F.lit(3))).alias("n"), x.alias("at")))["n"], F.lit(0)).cast("long")),
         })
         .drop("_w", "_l", "_k", "_p")
     )
