@@ -59,7 +59,7 @@ def _here(value: Column) -> Column:
     Without it a later filter on the value would be pushed below the columns it is made from, and
     these would be written out inside its lambda functions, to be computed again for every element.
     """
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.spark_partition_id() >= 0, value)
 
 
 def statistics(docs: DataFrame) -> DataFrame:
