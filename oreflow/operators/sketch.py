@@ -20,7 +20,7 @@ def _bits(x: Column, params: list[tuple[int, int]], bits: int) -> Column:
 def bloom_bits(build: DataFrame, value: str, bits: int = 10_000, hashes: int = 3, seed: int = 3) -> DataFrame:
     """(bit): the distinct bits that are set, ``bits`` rows at most."""
     values = build.select(F.col(value).alias("v")).filter(F.col("v").isNotNull() & (stripped(F.col("v")) != "")).distinct()
-    return values.select(F.explode(_bits(bytes_mod(F.col("v"), bits), bloom_params(bits, hashes, seed))).alias("bit")).distinct()
+    return values.select(F.explode(_bits(bytes_mod(F.col("v"), bits), bloom_params(bits, hashes, seed), bits)).alias("bit")).distinct()
 
 
 def bloom_probe(build: DataFrame, probe: DataFrame, value: str, bits: int = 10_000, hashes: int = 3, seed: int = 3) -> DataFrame:
@@ -31,7 +31,7 @@ def bloom_probe(build: DataFrame, probe: DataFrame, value: str, bits: int = 10_0
     """
     filled = bloom_bits(build, value, bits, hashes, seed).agg(F.collect_set("bit").alias("_set"))
     distinct = probe.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & (stripped(F.col("_v")) != "")).distinct()
-    hit = distinct.crossJoin(F.broadcast(filled)).select("_v", F.forall(_bits(bytes_mod(F.col("_v"), bits), bloom_params(bits, hashes, seed)), lambda b: F.array_contains("_set", b)).cast("int").alias("_hit"))
+    hit = distinct.crossJoin(F.broadcast(filled)).select("_v", F.forall(_bits(bytes_mod(F.col("_v"), bits), bloom_params(bits, hashes, seed), bits), lambda b: F.array_contains("_set", b)).cast("int").alias("_hit"))
     return probe.join(hit, F.col(value) == F.col("_v"), "left").withColumn("flag", F.coalesce("_hit", F.lit(0))).drop("_v", "_hit")
 
 

@@ -306,7 +306,7 @@ def _bits_sql(c: str) -> str:
     return "[" + ", ".join(f"({a} * {c} + {b}) % 10000" for a, b in sketch.bloom_params()) + "]"
 
 
-@query(f"WITH bits AS (SELECT DISTINCT unnest({_bits_sql('x')}) AS bit FROM (SELECT {_bytes_mod_sql('n_name', 10000)} AS x FROM nation)), probe AS (SELECT s_name AS value FROM supplier UNION ALL SELECT n_name FROM nation) SELECT value, CAST(len(list_filter({_bits_sql('x')}, lambda b: list_contains((SELECT list(bit) FROM bits), b))) = 3 AS INT) AS flag FROM (SELECT value, {_bytes_mod_sql('value', 10000)} AS x FROM probe)")
+@query(f"WITH bits AS (SELECT DISTINCT unnest({_bits_sql('x')}) AS bit FROM (SELECT {_bytes_mod_sql('n_name', 10000)} AS x FROM nation)), probe AS (SELECT s_name AS value FROM supplier UNION ALL SELECT n_name FROM nation) SELECT value, CAST(len(list_filter(list_transform({_bits_sql('x')}, lambda b: list_contains(filled, b)), lambda t: t)) = 3 AS INT) AS flag FROM (SELECT value, {_bytes_mod_sql('value', 10000)} AS x FROM probe), (SELECT list(bit) AS filled FROM bits)")
 def bloom_probe(spark, d):
     nations = table(spark, d, "nation").select(F.col("n_name").alias("value"))
     probe = table(spark, d, "supplier").select(F.col("s_name").alias("value")).unionByName(nations)
@@ -330,7 +330,7 @@ def _lcg_sql(n: str, p: tuple[int, int, int]) -> str:
 
 _RESERVOIR = (
     "WITH e AS (SELECT event_id, event_type, props, row_number() OVER (ORDER BY event_id) AS n FROM events), "
-    f"s AS (SELECT *, CASE WHEN n <= 100 THEN n WHEN {_lcg_sql('n', LCG_ACCEPT)} * n <= 100 * 2147483647 THEN {_lcg_sql('n', LCG_SLOT)} * 100 // 2147483647 + 1 END AS slot FROM e), "
+    f"s AS (SELECT *, CASE WHEN n <= 100 THEN n WHEN {_lcg_sql('n', LCG_ACCEPT)} * n <= 214748364700 THEN {_lcg_sql('n', LCG_SLOT)} * 100 // 2147483647 + 1 END AS slot FROM e), "
     "res AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY n DESC) AS k FROM s WHERE slot IS NOT NULL) WHERE k = 1) "
 )
 
