@@ -1,23 +1,33 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in
-tests on one machine) a temporary local folder is chosen and set.
+tests on one machine) a temporary local folder is chosen.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+"""By application: the folder chosen where none is set; deleted when the driver ends."""
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder as a URI, without a trailing slash."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="oreflow-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="oreflow-")
+            _own[app] = f"file://{folder}"
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = _own[app]
     return place.rstrip("/")
 
 
