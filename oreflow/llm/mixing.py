@@ -63,6 +63,7 @@ def mixed(docs: DataFrame, weights: DataFrame, sources: DataFrame, max_epochs: f
     drawn each.  Sources without a weight, or without words, are not taken.  Reruns agree: the
     draw depends on seed, doc_id, source and size only, and rows alike in these are alike.
     """
+    docs, sources, weights = docs.select("doc_id", "source", "size"), sources.select("source", "source_size", "n_documents"), weights.select("source", "weight")
     table = sources.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left").select("s.*", F.coalesce(F.col("w.weight").cast("double"), F.lit(0.0)).alias("weight"))
     table = water_filled(table, max_epochs).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     key = F.xxhash64(F.lit(seed), "d.doc_id", "d.source", "d.size")
