@@ -45,15 +45,18 @@ def fm_aggregates(value: Column, params: list[tuple[int, int]], modulus: int) ->
     return [F.max(trailing_zeros(linear_hash(value, a, b, modulus))).alias(f"t{i}") for i, (a, b) in enumerate(params)]
 
 
-def fm_estimate(tails: list[str], group: int) -> Column:
-    """Tails sorted, cut into groups, mean of 2**tail of each, the middle group's, truncated."""
-    ordered = F.sort_array(F.array(*tails))
+def fm_estimate(tails: list[str], group: int, median_of_means: bool = False) -> Column:
+    """Tails sorted, cut into groups, mean of 2**tail of each, the middle group's, truncated.
+
+    With ``median_of_means`` the tails keep the order of their hash functions before they are grouped.
+    """
+    ordered = F.array(*tails) if median_of_means else F.sort_array(F.array(*tails))
     n = -(-len(tails) // group)
     means = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.aggregate(F.slice(ordered, g * group + 1, F.lit(group)), F.lit(0.0), lambda s, t: s + F.pow(F.lit(2.0), t)) / F.least(F.lit(group), F.lit(len(tails)) - g * group))
     return F.floor(F.sort_array(means)[n // 2]).cast("bigint")
 
 
-def fm_windows(df: DataFrame, ts: str, value: str, length: str = "30 seconds", slide: str = "10 seconds", hashes: int = 49, group: int = 7, seed: int = 5) -> DataFrame:
+def fm_windows(df: DataFrame, ts: str, value: str, length: str = "30 seconds", slide: str = "10 seconds", hashes: int = 49, group: int = 7, seed: int = 5, median_of_means: bool = False) -> DataFrame:
     """(window_start, truth, estimate) per sliding window of event time; null and blank values drop out.
 
     Hashing runs once per distinct value of a window and once per hash function, in one aggregation.
@@ -62,7 +65,7 @@ def fm_windows(df: DataFrame, ts: str, value: str, length: str = "30 seconds", s
     good = df.filter(F.col(value).isNotNull() & (stripped(F.col(value)) != ""))
     each = good.select(F.window(F.col(ts).cast("timestamp"), length, slide).alias("w"), F.col(value).alias("v")).select(F.col("w.start").alias("window_start"), "v").distinct()
     agg = each.withColumn("x", bytes_mod(F.col("v"), m)).groupBy("window_start").agg(F.count(F.lit(1)).alias("truth"), *fm_aggregates(F.col("x"), params, m))
-    return agg.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "truth", fm_estimate([f"t{i}" for i in range(len(params))], group).alias("estimate"))
+    return agg.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "truth", fm_estimate([f"t{i}" for i in range(len(params))], group, median_of_means).alias("estimate"))
 
 
 def distinct_windows(df: DataFrame, ts: str, value: str, length: str, slide: str, approximate: bool = False) -> DataFrame:

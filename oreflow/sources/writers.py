@@ -58,3 +58,17 @@ def membership_object(membership: DataFrame, path: str) -> None:
 def append_batches(df: DataFrame, path: str, checkpoint: str):
     """A streaming query that appends every micro-batch's rows as CSV."""
     return df.writeStream.outputMode("append").format("csv").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_level_blocks(tags: DataFrame, path: str, checkpoint: str, n: int = 3):
+    """A streaming query over tags (column tag): after each micro-batch it appends a block of lines
+    ``tag:count`` for the n highest frequencies so far, most frequent first, and an empty line."""
+    from oreflow.operators.sampling import top_levels
+
+    def block(batch: DataFrame, epoch: int) -> None:
+        rows = batch.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "n")), "tag")
+        lines = top_levels(rows, n).orderBy(F.desc("n"), "tag").agg(F.collect_list(F.concat_ws(":", "tag", F.col("n").cast("string"))).alias("x"))
+        lines.select(F.explode(F.concat("x", F.array(F.lit("")))).alias("value")).coalesce(1).write.mode("append").text(path)
+
+    counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return counts.writeStream.outputMode("complete").foreachBatch(block).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -25,7 +25,7 @@ def test_exploration(spark):
     assert rows(relational.distinct_count(r, "user_id")) == [(2,)]
     assert rows(relational.top_counts(r, "business_id", 1)) == [("b1", 2)]
     stop = spark.createDataFrame([("the",)], "word string")
-    assert rows(relational.top_words(r, stop, 9)) == [("good", 2), ("12", 1), ("good,", 1), ("x", 1)]
+    assert rows(relational.top_words(r, stop, 9)) == [("12", 1), ("good", 1), ("good\n.", 1), ("good,", 1), ("x", 1)]
     assert rows(relational.businesses_over(r, 1)) == [("b1", 2)]
     layout = relational.partition_layout(r, "business_id", 7).collect()
     assert len(layout) == 7 and sum(x.n_items for x in layout) == 3
@@ -273,3 +273,23 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rows(spark.read.text(p("f"))) == [("1 0",)]
     writers.membership_object(spark.createDataFrame([(2, -1), (1, 0)], "id long, cluster int"), p("mm"))
     assert sorted(r[0] for r in rows(spark.read.text(p("mm")))) == ['{"1":0}', '{"2":-1}']
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    from oreflow.streaming import windows
+
+    events = spark.createDataFrame([(i, f"2024-01-01 00:{i % 60:02d}:00", f"c{i % 7}", "ab"[i % 2]) for i in range(300)], "n long, t string, v string, tag string").withColumn("ts", F.to_timestamp("t"))
+    folder = f"file://{tmp_path}/events"
+    events.repartition(3).write.parquet(folder)
+    stream = lambda: windows.file_stream(spark, folder, "*.parquet", events.schema)
+    got = windows.run_to_end(windows.fm_stream(stream(), "ts", "v", "30 minutes", "10 minutes"), "fm_test")
+    assert sorted(rows(got)) == sorted(rows(sketch.fm_windows(events, "ts", "v", "30 minutes", "10 minutes")))
+    late = windows.run_to_end(windows.fm_stream(stream(), "ts", "v", "30 minutes", "10 minutes", late="1 minute"), "fm_late", "append")
+    assert set(rows(late)) <= set(rows(got))
+    held = windows.run_to_end(windows.reservoir_stream(stream().withColumn("n", F.col("n") + 1).select("n", "v"), "n", 20), "reservoir_test")
+    want = sampling.reservoir(events.withColumn("n", F.col("n") + 1).select("n", "v"), "n", 20)
+    assert sorted(rows(held.select("slot", "n", "v"))) == sorted(rows(want.select("slot", "n", "v")))
+    out = f"file://{tmp_path}/blocks"
+    writers.append_level_blocks(stream(), out, f"file://{tmp_path}/ck").awaitTermination()
+    lines = [r[0] for r in rows(spark.read.text(out))]
+    assert "a:150" in lines and "b:150" in lines and "" in lines
