@@ -83,8 +83,11 @@ def noisy_or(z: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc, weights=np.logaddexp(0, z), minlength=n)
 
 
-def fit(texts: list[str | None], toxic: list[int], decay: float = 2e-5, rate: float = 0.1) -> Model:
-    """Full-batch Adam on the noisy-or's log loss."""
+def fit(texts: list[str | None], toxic: list[int], sparsity: float = 3e-4, rate: float = 0.2) -> Model:
+    """Full-batch Adam on the noisy-or's log loss, with weights from 0 up and an L1 penalty on them.
+
+    Words can so only add toxicity, and a long document of rare words gathers none.
+    """
     b, y = bags(words(texts_of(pa.array(texts, pa.string())), lower=True)), np.asarray(toxic, float)
     model = Model(np.zeros(FEATURES + 1), -6.0)
     if not b.features.size or y.min() == y.max():
@@ -105,7 +108,7 @@ def fit(texts: list[str | None], toxic: list[int], decay: float = 2e-5, rate: fl
         slope = np.where(y > 0, -1 / np.expm1(np.minimum(s, 500)), 1.0)
         g = slope[b.doc] / (1 + np.exp(-z)) / len(y)
         grad = np.append(np.bincount(feature, weights=g[sentence], minlength=len(used)), g.sum())
-        grad[:-1] += decay * theta[:-1]
+        grad[:-1] += sparsity
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         theta[:-1] = np.maximum(theta[:-1], 0)
