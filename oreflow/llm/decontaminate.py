@@ -98,7 +98,7 @@ def _covered(starts: Column, size: Column) -> Column:
     return fold["n"]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_covered: int = 16, least_percent: int = 60) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_covered: int = 13, least_percent: int = 60) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, verbatim or re-parameterised.
 
     ``docs``: (doc_id long, text string, ...), ``benchmark``: (item_id long, text string, ...).
