@@ -154,8 +154,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     """
     every = kept(shingle_sets(docs, k, percent), "shingle-sets")
     cand = every.filter(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull())
-    classes = cand.groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("rep"))
-    member = cand.select("doc_id", "fp_a", "fp_b", "n").join(classes, ["fp_a", "fp_b", "n"]).select("doc_id", "rep")
+    # both written as they are: then the join's sides are plain exchanges and nothing above it needs a
+    # class's rows together, so adaptive execution can split a class that holds a third of all rows
+    classes = kept(cand.groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    member = kept(cand.select("doc_id", "fp_a", "fp_b", "n").join(classes, ["fp_a", "fp_b", "n"]).select("doc_id", "rep"), "members")
     # a representative whose set differs from others of its id keeps every such set
     sets = kept(cand.join(classes.withColumnRenamed("rep", "doc_id"), ["fp_a", "fp_b", "n", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "n_own", "parity", "tokens").dropDuplicates(["rep", "tokens"]), "sets")
     reach = F.col("n") - F.ceil((percent * F.col("n")).cast("decimal(20,0)") / 100).cast("long") + 1 - F.col("n_own")
