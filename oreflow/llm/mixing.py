@@ -67,22 +67,25 @@ def mixed(docs: DataFrame, weights: DataFrame, sources: DataFrame, max_epochs: f
     table = sources.alias("s").join(weights.alias("w"), F.col("s.source").eqNullSafe(F.col("w.source")), "left").select("s.*", F.coalesce(F.col("w.weight").cast("double"), F.lit(0.0)).alias("weight"))
     table = water_filled(table, max_epochs).withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     key = F.xxhash64(F.lit(seed), "d.doc_id", "d.source", "d.size")
-    rows = docs.alias("d").join(table.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "size", "source_size", "target", "ratio", F.pmod(key, F.ceil(F.col("n_documents") / STRATUM)).alias("stratum"))
+    # rows alike in all that counts are one entry with a number, however many they are
+    alike = docs.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    rows = alike.alias("d").join(table.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "size", "rows", "source_size", "target", "ratio", F.pmod(key, F.ceil(F.col("n_documents") / STRATUM)).alias("stratum"))
     # large documents first, so that small ones even out what is left; at random among those of about one size
-    entry = F.struct((-F.floor(F.log2(F.col("size") + 1))).cast("int").alias("rank"), _uniform(seed + 1, "doc_id", "source", "size").alias("draw"), "doc_id", "size")
+    entry = F.struct((-F.floor(F.log2(F.col("size") + 1))).cast("int").alias("rank"), _uniform(seed + 1, "doc_id", "source", "size").alias("draw"), "doc_id", "size", "rows")
     strata = rows.groupBy("source", "stratum").agg(F.sort_array(F.collect_list(entry)).alias("docs"), F.first("ratio").alias("ratio"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     whole = F.floor("ratio")
     part = F.col("ratio") - whole
 
     def step(acc: Column, x: Column) -> Column:
-        due = acc["due"] + part * x["size"]
-        take = due > x["draw"] * x["size"]
-        return F.struct((due - F.when(take, x["size"]).otherwise(0)).alias("due"), F.concat(acc["taken"], F.array(take)).alias("taken"))
+        due = acc["due"] + part * x["size"] * x["rows"]
+        take = F.when(x["size"] > 0, F.least(x["rows"], F.greatest(F.lit(0), F.ceil(due / x["size"] - x["draw"])))).otherwise(F.lit(0)).cast("long")
+        return F.struct((due - take * x["size"]).alias("due"), F.concat(acc["taken"], F.array(take)).alias("taken"))
 
-    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<boolean>").alias("taken"))
+    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<bigint>").alias("taken"))
     drawn = strata.withColumn("taken", F.aggregate("docs", start, step)["taken"])
     one = drawn.select("source", "source_size", "target", whole.alias("whole"), F.explode(F.arrays_zip("docs", "taken")).alias("x"))
-    return one.select("x.docs.doc_id", "source", "x.docs.size", "source_size", "target", (F.col("whole") + F.col("x.taken").cast("long")).alias("copies"))
+    each = one.select("x.docs.doc_id", "source", "x.docs.size", "source_size", "target", "whole", "x.taken", F.explode(F.sequence(F.lit(1).cast("long"), F.col("x.docs.rows"))).alias("i"))
+    return each.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + (F.col("i") <= F.col("taken")).cast("long")).alias("copies"))
 
 
 def source_table(docs: DataFrame) -> DataFrame:

@@ -264,3 +264,11 @@ def test_warc_empty_table(spark):
     path = new_path(spark, "warc-empty")
     spark.createDataFrame([], warc.SCHEMA).write.format("warc").mode("append").save(path)
     assert spark.read.format("warc").load(path).count() == 0
+
+
+def test_mixing_of_rows_all_alike(spark):
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit(10).cast("long").alias("size")).unionByName(spark.createDataFrame([(1, "b", 30_000)], "doc_id long, source string, size long"))
+    sources = mixing.source_table(docs)
+    got = mixing.mixed(docs, mixing.cyclic_weights(sources), sources).filter("source = 'a'")
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).first()
+    assert r.n == 5000 and abs(r.taken - r.target) <= 10
