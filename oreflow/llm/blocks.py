@@ -28,13 +28,13 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def dealt(docs: DataFrame, total: int, carry: tuple = ()) -> DataFrame:
-    """Columns (doc_id, text, block, and those to carry along): documents dealt to blocks by a hash of id and text length.
+    """Columns (doc_id, text, block, and those to carry along): documents dealt to blocks by a hash of id and text.
 
-    The length is hashed too so that rows sharing one id (nulls, repeated rows) do not
-    meet in one block for that reason.
+    The text is hashed too so that different texts under one id, such as null, do not meet in
+    one block for that reason.
     """
     n = max(1, -(-total // BLOCK_BYTES))
-    return docs.select("doc_id", "text", *carry).withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int"))
+    return docs.select("doc_id", "text", *carry).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 def bucket_count(total: int) -> int:
