@@ -3,9 +3,9 @@
 Method: texts are canonicalised to templates in which numbers, names and units stand as
 typed placeholders, so that a question whose parameters were changed keeps its template.
 Windows of template tokens are hashed and hash-joined between documents and benchmark.  A
-match must then be consistent: over all windows of a document and an item, each value in
-the item's slots must stand for one value in the document's.  A document is contaminated
-by an item if the matched windows cover enough of it.
+match must then be consistent: over all windows of an occurrence, each value in the
+item's slots must stand for one value in the document's.  A document is contaminated by
+an item if the matched windows of any occurrence cover enough of it (see ``_occurrences``).
 
 Every window of the benchmark is indexed.  On the documents' side only windows around an
 *anchor* are hashed: for each benchmark window, its rarest literal token is an anchor (rare
@@ -19,9 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreflow.llm.scratch import kept
+
 NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
 """Marks before a number, a name, a unit; smaller than the first character of any other token."""
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|foot|yards?|miles?|mg|g|kg|lbs?|pounds?|ounces?|oz|tons?|ml|l|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|meters?|metres?|grams?|kilograms?|kilometers?|kilometres?"
@@ -70,11 +72,11 @@ def _shape(window: Column) -> Column:
 
 
 def _windows_at(tokens: Column, size: int) -> Callable[[Column], Column]:
-    """Hash and slot values of the window at a start."""
+    """Start, hash and slot values of the window at a start."""
 
     def window(at: Column) -> Column:
         raw = F.slice(tokens, at + 1, F.lit(size))
-        return F.struct(F.xxhash64(F.lit(size), _shape(raw)).alias("hash"), F.filter(raw, _is_slot).alias("slots"))
+        return F.struct(at.alias("at"), F.xxhash64(F.lit(size), _shape(raw)).alias("hash"), F.filter(raw, _is_slot).alias("slots"))
 
     return window
 
@@ -98,6 +100,26 @@ def _covered(starts: Column, size: Column) -> Column:
     return fold["n"]
 
 
+def _occurrences(found: DataFrame) -> DataFrame:
+    """The matches, once for each occurrence (kind, place, copy) of the item that they belong to.
+
+    An item may stand in a document many times, with other values each time, so matches are judged in three
+    ways: those of one diagonal (document's start less item's), which is a copy without insertions; those of
+    one run, which goes on while the item's starts rise and no gap is longer than the item; and those of the
+    whole document, as an item may be scattered over it.  Different texts under one id are copies of their own.
+    """
+    text = Window.partitionBy("doc_id", "copy", "item_id").orderBy("doc_at")
+    spots = found.groupBy("doc_id", "copy", "item_id", "n_tokens", "doc_at").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    # a window that stands several times in the item has several starts: back means back by the least and by the greatest
+    back = (F.col("low") <= F.lag("low").over(text)) & (F.col("high") <= F.lag("high").over(text))
+    gap = F.col("doc_at") - F.lag("doc_at").over(text) > F.col("n_tokens")
+    runs = spots.withColumn("cut", F.coalesce((back | gap).cast("int"), F.lit(0))).withColumn("run", F.sum("cut").over(text)).select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col("item_id").alias("i"), F.col("doc_at").alias("a"), "run")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("copy") == F.col("c")) & (F.col("doc_at") == F.col("a"))
+    place = lambda kind, at, copy: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("place"), copy.alias("copy"))
+    places = F.array(place("document", F.lit(0), F.lit(0).cast("long")), place("diagonal", F.col("doc_at") - F.col("at"), F.col("copy")), place("run", F.col("run"), F.col("copy")))
+    return found.join(runs, same).withColumn("in", F.explode(places)).drop("copy").select("*", "in.*").drop("in")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_covered: int = 13, least_percent: int = 60) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, verbatim or re-parameterised.
 
@@ -105,7 +127,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_c
     Returns doc_id, item_id, n_windows (distinct windows of the item that match), covered (the
     item's tokens under these), n_tokens (the item's) and verbatim (whether the windows with equal
     slots suffice alone).  A pair is returned if its windows cover ``least_covered`` tokens, or
-    ``least_percent`` of the item, and either their slots are equal or the slots are consistent.
+    ``least_percent`` of the item, and either their slots are equal or the slots are consistent;
+    the windows are those of any one occurrence, or of the whole document.
 
     Null or empty texts hold nothing; items under LEAST_TOKENS tokens are not matched; null ids are
     ids like any other; repeated documents under one id are one document, as are repeated items.
@@ -114,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_c
     spans = _benchmark_windows(benchmark, window)
     anchors = [r.anchor for r in spans.select("anchor").distinct().collect()]
     sizes = [r.size for r in spans.select("size").distinct().collect()]
-    tok = docs.select("doc_id", template_tokens(F.col("text")).alias("t"))
+    tok = docs.select("doc_id", F.xxhash64("text").alias("copy"), template_tokens(F.col("text")).alias("t"))
     found = None
     for k in range(0, max(len(anchors), 1), MAX_ANCHORS):
         part = anchors[k : k + MAX_ANCHORS]
@@ -123,22 +146,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_c
         index = spans.filter(F.col("anchor").isin(part)) if len(anchors) > MAX_ANCHORS else spans
         for size in sizes:
             starts = F.array_distinct(F.flatten(F.transform("p", _starts_around(F.size("t") - size, size))))
-            wins = held.select("doc_id", F.explode(F.transform(starts, _windows_at(F.col("t"), size))).alias("w")).select("doc_id", F.col("w.hash").alias("hash"), F.col("w.slots").alias("doc_slots"))
+            wins = held.select("doc_id", "copy", F.explode(F.transform(starts, _windows_at(F.col("t"), size))).alias("w")).select("doc_id", "copy", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("doc_slots"))
             got = wins.join(index.filter(F.col("size") == size), "hash")
             found = got if found is None else found.unionByName(got)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, covered int, n_tokens int, verbatim boolean")
-    # of repeated passages in a document, each match of a window counts for itself; slots pair up in order
+    found = kept(found.drop("hash", "anchor"), "matches")
+    # each occurrence counts for itself; slots pair up in order
     pairs = F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc"))
-    by_pair = found.groupBy("doc_id", "item_id", "n_tokens", "size").agg(
+    by_place = _occurrences(found).groupBy("doc_id", "item_id", "n_tokens", "size", "kind", "place", "copy").agg(
         F.collect_set("at").alias("starts"),
         F.collect_set(F.when(F.col("slots") == F.col("doc_slots"), F.col("at"))).alias("equal_starts"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.col("slots.item")))
     enough = lambda c: (F.col(c) >= least_covered) | (100 * F.col(c) >= least_percent * F.col("n_tokens"))
-    judged = by_pair.withColumn("covered", _covered(F.col("starts"), F.col("size"))).withColumn("equal", _covered(F.col("equal_starts"), F.col("size"))).withColumn("verbatim", enough("equal"))
-    return judged.filter(F.col("verbatim") | (enough("covered") & consistent)).select("doc_id", "item_id", F.size("starts").cast("long").alias("n_windows"), "covered", "n_tokens", "verbatim")
+    judged = by_place.withColumn("covered", _covered(F.col("starts"), F.col("size"))).withColumn("equal", _covered(F.col("equal_starts"), F.col("size"))).withColumn("verbatim", enough("equal"))
+    judged = judged.withColumn("holds", F.col("verbatim") | (enough("covered") & consistent))
+    # the greatest numbers are those of the whole document
+    by_pair = judged.groupBy("doc_id", "item_id", "n_tokens").agg(F.max(F.size("starts")).cast("long").alias("n_windows"), F.max("covered").alias("covered"), F.max("verbatim").alias("verbatim"), F.max("holds").alias("holds"))
+    return by_pair.filter("holds").select("doc_id", "item_id", "n_windows", "covered", "n_tokens", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **limits: int) -> DataFrame:

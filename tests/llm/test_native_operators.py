@@ -192,6 +192,27 @@ def test_decontamination_finds_part_of_an_item(spark):
     assert got == {i for i, _, n in docs if n >= 16}
 
 
+def leaks(spark, docs, items):
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id) for r in contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_decontamination_judges_each_occurrence(spark):
+    item = "a farmer keeps 12 hens in the old barn and sells 12 eggs on the market every 3 weeks of the year"
+    ask = lambda a, b, c="every": f"a farmer keeps {a} hens in the old barn and sells {a} eggs on the market {c} {b} weeks of the year"
+    rest = " ".join(f"u{i}x" for i in range(40))
+    split = ask(9, 2).replace("eggs", "big eggs")
+    docs = [
+        (1, f"{ask(9, 2)} {rest} {ask(4, 7)}"),  # twice, with other values
+        (2, f"{ask(9, 2)} {ask(4, 7)} {ask(5, 5)}"),  # a worksheet
+        (3, f"{ask(9, 2)} {rest} a farmer keeps 4 hens in the old"),  # a copy and a stray window
+        (4, f"{split} {rest} {split.replace('9', '4')}"),  # copies with a word put in
+        (5, f"{ask(9, 2).replace('sells 9', 'sells 8')} {rest}"), (6, f"{ask(9, 2).replace('sells 9', 'sells 8')} {ask(4, 7).replace('sells 4', 'sells 5')}"),
+        (7, ask(9, 2)), (7, ask(4, 7)),  # different texts under one id
+    ]
+    assert leaks(spark, docs, [(1, item)]) == {(i, 1) for i in (1, 2, 3, 4, 7)}
+
+
 RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
 
