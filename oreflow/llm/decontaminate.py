@@ -10,7 +10,8 @@ an item if the matched windows of any occurrence cover enough of it (see ``_occu
 Every window of the benchmark is indexed.  On the documents' side only windows around an
 *anchor* are hashed: for each benchmark window, its rarest literal token is an anchor (rare
 in the benchmark, then long).  A document window equal to a benchmark window holds that
-token, so nothing is missed, while most positions of the corpus cost one set lookup.
+token, so nothing is missed, while most positions of the corpus cost one set lookup.  A
+window without literals is matched by its values, the rarest of which is its anchor.
 
 Only DataFrame functions.
 """
@@ -67,8 +68,9 @@ def _starts_around(last: Column, size: int) -> Callable[[Column], Column]:
 
 
 def _shape(window: Column) -> Column:
-    """The window with each slot's value left out."""
-    return F.transform(window, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+    """The window with each slot's value left out; one of slots alone keeps them, as any row of numbers would equal it."""
+    blank = F.transform(window, lambda x: F.when(_is_slot(x), F.substring(x, 1, 1)).otherwise(x))
+    return F.when(F.exists(window, lambda x: ~_is_slot(x)), blank).otherwise(window)
 
 
 def _windows_at(tokens: Column, size: int) -> Callable[[Column], Column]:
@@ -82,13 +84,13 @@ def _windows_at(tokens: Column, size: int) -> Callable[[Column], Column]:
 
 
 def _benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, n_tokens, size, at, hash, slots, anchor) of every window with enough literals."""
+    """(item_id, n_tokens, size, at, hash, slots, anchor) of every window."""
     tok = items.select("item_id", template_tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_TOKENS)
     tok = tok.withColumn("n_tokens", F.size("t")).withColumn("size", F.least("n_tokens", F.lit(window)))
     spans = tok.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("size"))))
     raw = F.slice("t", F.col("at") + 1, F.col("size"))
     spans = spans.withColumns({"hash": F.xxhash64("size", _shape(raw)), "slots": F.filter(raw, _is_slot), "literal": F.filter(raw, lambda x: ~_is_slot(x))})
-    spans = spans.filter(2 * F.size("literal") >= F.col("size")).drop("t")
+    spans = spans.withColumn("literal", F.when(F.size("literal") > 0, F.col("literal")).otherwise(F.col("slots"))).drop("t")
     often = spans.select("item_id", F.explode("literal").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = spans.select("item_id", "size", "at", F.explode(F.array_distinct("literal")).alias("token")).join(often, "token").groupBy("item_id", "size", "at").agg(F.min(F.struct("n", (-F.length("token")).alias("l"), "token")).alias("best"))
     return spans.join(ranked, ["item_id", "size", "at"]).select("item_id", "n_tokens", "size", "at", "hash", "slots", F.col("best.token").alias("anchor"))

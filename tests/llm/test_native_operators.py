@@ -213,6 +213,16 @@ def test_decontamination_judges_each_occurrence(spark):
     assert leaks(spark, docs, [(1, item)]) == {(i, 1) for i in (1, 2, 3, 4, 7)}
 
 
+def test_decontamination_of_items_dense_in_numbers(spark):
+    rest = " ".join(f"u{i}x" for i in range(20))
+    items = [(1, "Compute 12 + 7 - 3 * 45 / 9"), (2, "31 41 59 26 53 58 97 93"), (3, "11, 22, 33, 44, 55, 66 and 77 go to 1, 2, 3, 4, 5, 6 and 7")]
+    docs = [
+        (1, f"{rest}. Compute 12 + 7 - 3 * 45 / 9 {rest}"), (2, f"{rest}. Compute 5 + 8 - 2 * 10 / 4"), (3, f"{rest} 31 41 59 26 53 58 97 93 {rest}"),
+        (4, "11, 22, 33, 44, 55, 66 and 77 go to 1, 2, 3, 4, 5, 6 and 7"), (5, f"{rest} 1 2 3 4 5 6 7 8 9 {rest}"), (6, f"{rest} 31 {rest}"),
+    ]
+    assert leaks(spark, docs, items) == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
 
