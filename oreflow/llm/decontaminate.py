@@ -7,6 +7,12 @@ match must then be consistent: over all windows of an occurrence, each value in
 item's slots must stand for one value in the document's.  A document is contaminated by
 an item if the matched windows of any occurrence cover enough of it (see ``_occurrences``).
 
+A capitalised word may be a name or not, whatever stands before it.  A window of the benchmark
+is indexed once for each choice of its capitalised words that are names; a window of a document
+is looked up as context suggests, with all capitalised words as names, and with none.  What is
+not seen: changed names in a window where the document also capitalises a word inside a sentence
+that the item does not.
+
 Every window of the benchmark is indexed.  On the documents' side only windows around an
 *anchor* are hashed: for each benchmark window, its rarest literal token is an anchor (rare
 in the benchmark, then long).  A document window equal to a benchmark window holds that
@@ -25,8 +31,8 @@ from pyspark.sql import functions as F
 
 from oreflow.llm.scratch import kept
 
-NUMBER, NAME, UNIT = "\u0001", "\u0002", "\u0003"
-"""Marks before a number, a name, a unit; smaller than the first character of any other token."""
+NUMBER, NAME, UNIT, CAPITAL = "\u0001", "\u0002", "\u0003", "\u0004"
+"""Marks before a number, a name, a unit, and a capitalised word that may be a name; smaller than the first character of any other token."""
 UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|foot|yards?|miles?|mg|g|kg|lbs?|pounds?|ounces?|oz|tons?|ml|l|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|meters?|metres?|grams?|kilograms?|kilometers?|kilometres?"
 MAX_ANCHORS = 200_000
 """Bound of the anchor set that is sent to all tasks; a larger benchmark is matched in parts of this size."""
@@ -37,18 +43,42 @@ LEAST_TOKENS = 5
 def template_tokens(text: Column) -> Column:
     """Template tokens of a text: lower-cased literals, and raw values behind their mark.
 
-    A name is a capitalised word after a lower-case letter, comma or semicolon and one space (so not one
-    at the start of a sentence); a unit is a unit word right after a number.
+    A capitalised word is a name by its context after a lower-case letter, comma or semicolon and one white
+    space; elsewhere, as at the start of a sentence, it may be one.  A unit is a unit word right after a number.
     """
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]", " ")
-    s = F.lower(F.regexp_replace(s, r" (?=\p{Lu}\p{Ll})(?<=[\p{Ll},;] )", f" {NAME}"))
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x04]", " ")
+    s = F.regexp_replace(s, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}]\p{Lu})", f"{CAPITAL}$0")
+    s = F.lower(F.regexp_replace(s, r"\x04(?<=[\p{Ll},;]\s\x04)", NAME))
     s = F.regexp_replace(s, r"[.,:](?=\d)(?<=\d[.,:])", "")
-    s = F.regexp_replace(s, r"[^\p{L}\p{M}\d\x02]+", " ")
+    s = F.regexp_replace(s, r"[^\p{L}\p{M}\d\x02\x04]+", " ")
     s = F.regexp_replace(s, r"\d+", f" {NUMBER}$0 ")
-    s = F.regexp_replace(s, rf"(\x01\d+ +)(?=(?:{UNITS})(?: |$))", f"$1{UNIT}")
+    s = F.regexp_replace(s, rf"(\x01\d+ +)\x04?(?=(?:{UNITS})(?: |$))", f"$1{UNIT}")
     return F.filter(F.split(s, " +"), lambda x: x != "")
 
 
+def _is_capital(x: Column) -> Column:
+    return x.startswith(NAME) | x.startswith(CAPITAL)
+
+
+def _bare(x: Column) -> Column:
+    """The token without the mark of a name."""
+    return F.when(_is_capital(x), F.substring(x, 2, 1_000_000)).otherwise(x)
+
+
+def _in_context(window: Column) -> Column:
+    """Names as their context suggests."""
+    return F.transform(window, lambda x: F.when(x.startswith(CAPITAL), _bare(x)).otherwise(x))
+
+
+def _all_names(window: Column) -> Column:
+    return F.transform(window, lambda x: F.when(x.startswith(CAPITAL), F.concat(F.lit(NAME), _bare(x))).otherwise(x))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _is_slot(x: Column) -> Column:
     return x < "\u0004"
 
@@ -74,26 +104,34 @@ def _shape(window: Column) -> Column:
 
 
 def _windows_at(tokens: Column, size: int) -> Callable[[Column], Column]:
-    """Start, hash and slot values of the window at a start."""
+    """Start, hash, slot values of the window at a start, and whether its names are those by context; once for each form."""
 
     def window(at: Column) -> Column:
-        raw = F.slice(tokens, at + 1, F.lit(size))
-        return F.struct(at.alias("at"), F.xxhash64(F.lit(size), _shape(raw)).alias("hash"), F.filter(raw, _is_slot).alias("slots"))
+        form = lambda typed, in_context: _let(typed, lambda x: F.struct(at.alias("at"), F.xxhash64(F.lit(size), _shape(x)).alias("hash"), F.filter(x, _is_slot).alias("slots"), F.lit(in_context).alias("in_context")))
+        bare = lambda raw: form(F.transform(raw, _bare), False)
+        open_names = lambda raw: F.exists(raw, lambda x: x.startswith(CAPITAL))
+        names = lambda raw: F.exists(raw, lambda x: x.startswith(NAME))
+        forms = lambda raw: F.when(open_names(raw), F.array(form(_in_context(raw), True), form(_all_names(raw), False), bare(raw))).when(names(raw), F.array(form(raw, True), bare(raw))).otherwise(F.array(form(raw, True)))
+        return _let(F.slice(tokens, at + 1, F.lit(size)), forms)
 
     return window
 
 
 def _benchmark_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, n_tokens, size, at, hash, slots, anchor) of every window."""
+    """(item_id, n_tokens, size, at, hash, slots, in_context, anchor) of every window, for each choice of names."""
     tok = items.select("item_id", template_tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_TOKENS)
     tok = tok.withColumn("n_tokens", F.size("t")).withColumn("size", F.least("n_tokens", F.lit(window)))
     spans = tok.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n_tokens") - F.col("size"))))
-    raw = F.slice("t", F.col("at") + 1, F.col("size"))
-    spans = spans.withColumns({"hash": F.xxhash64("size", _shape(raw)), "slots": F.filter(raw, _is_slot), "literal": F.filter(raw, lambda x: ~_is_slot(x))})
-    spans = spans.withColumn("literal", F.when(F.size("literal") > 0, F.col("literal")).otherwise(F.col("slots"))).drop("t")
+    spans = spans.withColumn("raw", F.slice("t", F.col("at") + 1, F.col("size"))).drop("t")
+    spans = spans.withColumn("capitals", F.array_compact(F.transform("raw", lambda x, i: F.when(_is_capital(x), i))))
+    spans = spans.withColumn("choice", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), F.size("capitals")).cast("long") - 1)))
+    chosen = lambda i: F.getbit("choice", F.greatest(F.array_position("capitals", i) - 1, F.lit(0)).cast("int")) == 1
+    spans = spans.withColumn("typed", F.transform("raw", lambda x, i: F.when(_is_capital(x) & chosen(i), F.concat(F.lit(NAME), _bare(x))).otherwise(_bare(x))))
+    spans = spans.withColumns({"in_context": F.col("typed") == _in_context(F.col("raw")), "hash": F.xxhash64("size", _shape(F.col("typed"))), "slots": F.filter("typed", _is_slot), "literal": F.filter("typed", lambda x: ~_is_slot(x))})
+    spans = spans.withColumn("literal", F.when(F.size("literal") > 0, F.col("literal")).otherwise(F.transform("slots", _bare)))
     often = spans.select("item_id", F.explode("literal").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = spans.select("item_id", "size", "at", F.explode(F.array_distinct("literal")).alias("token")).join(often, "token").groupBy("item_id", "size", "at").agg(F.min(F.struct("n", (-F.length("token")).alias("l"), "token")).alias("best"))
-    return spans.join(ranked, ["item_id", "size", "at"]).select("item_id", "n_tokens", "size", "at", "hash", "slots", F.col("best.token").alias("anchor"))
+    ranked = spans.select("size", "hash", F.explode("literal").alias("token")).distinct().join(often, "token").groupBy("size", "hash").agg(F.min(F.struct("n", (-F.length("token")).alias("l"), "token")).alias("best"))
+    return spans.join(ranked, ["size", "hash"]).select("item_id", "n_tokens", "size", "at", "hash", "slots", "in_context", F.col("best.token").alias("anchor"))
 
 
 def _covered(starts: Column, size: Column) -> Column:
@@ -141,22 +179,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_c
     sizes = [r.size for r in spans.select("size").distinct().collect()]
     tok = docs.select("doc_id", F.xxhash64("text").alias("copy"), template_tokens(F.col("text")).alias("t"))
     found = None
-    for k in range(0, max(len(anchors), 1), MAX_ANCHORS):
-        part = anchors[k : k + MAX_ANCHORS]
-        hits = F.filter(F.transform("t", _places(part)), lambda i: i.isNotNull())
+    most = MAX_ANCHORS // 3
+    for k in range(0, max(len(anchors), 1), most):
+        part = anchors[k : k + most]
+        hits = F.filter(F.transform("t", _places([mark + x for x in part for mark in ("", NAME, CAPITAL)])), lambda i: i.isNotNull())
         held = tok.withColumn("p", hits)
-        index = spans.filter(F.col("anchor").isin(part)) if len(anchors) > MAX_ANCHORS else spans
+        index = spans.filter(F.col("anchor").isin(part)) if len(anchors) > most else spans
         for size in sizes:
             starts = F.array_distinct(F.flatten(F.transform("p", _starts_around(F.size("t") - size, size))))
-            wins = held.select("doc_id", "copy", F.explode(F.transform(starts, _windows_at(F.col("t"), size))).alias("w")).select("doc_id", "copy", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("doc_slots"))
-            got = wins.join(index.filter(F.col("size") == size), "hash")
+            wins = held.select("doc_id", "copy", F.explode(F.flatten(F.transform(starts, _windows_at(F.col("t"), size)))).alias("w")).select("doc_id", "copy", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("doc_slots"), F.col("w.in_context").alias("doc_in_context"))
+            got = wins.join(index.filter(F.col("size") == size), "hash").withColumn("in_context", F.col("in_context") & F.col("doc_in_context"))
             found = got if found is None else found.unionByName(got)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, covered int, n_tokens int, verbatim boolean")
-    found = kept(found.drop("hash", "anchor"), "matches")
-    # each occurrence counts for itself; slots pair up in order
+    found = kept(found.drop("hash", "anchor", "doc_in_context"), "matches")
+    # each occurrence counts for itself, by its names in context and by any names; slots pair up in order
     pairs = F.arrays_zip(F.col("slots").alias("item"), F.col("doc_slots").alias("doc"))
-    by_place = _occurrences(found).groupBy("doc_id", "item_id", "n_tokens", "size", "kind", "place", "copy").agg(
+    by_form = _occurrences(found).withColumn("form", F.explode(F.when(F.col("in_context"), F.array(F.lit("context"), F.lit("any"))).otherwise(F.array(F.lit("any")))))
+    by_place = by_form.groupBy("doc_id", "item_id", "n_tokens", "size", "kind", "place", "copy", "form").agg(
         F.collect_set("at").alias("starts"),
         F.collect_set(F.when(F.col("slots") == F.col("doc_slots"), F.col("at"))).alias("equal_starts"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"),

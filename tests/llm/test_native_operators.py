@@ -223,6 +223,18 @@ def test_decontamination_of_items_dense_in_numbers(spark):
     assert leaks(spark, docs, items) == {(1, 1), (2, 1), (3, 2), (4, 3)}
 
 
+def test_decontamination_of_names_in_any_context(spark):
+    rest = " ".join(f"u{i}x" for i in range(20))
+    tale = "{0} has {1} apples. {0} gives {2} pears. {3} keeps {4} plums now."
+    items = [(1, tale.format("Alice", 5, 2, "Alice", 3)), (2, "What is the best price"), (3, "the shop sells 4 caps to\nMaria for 20 cents")]
+    docs = [
+        (1, f"{rest}. {tale.format('Bob', 7, 4, 'Bob', 6)}"), (2, f"{rest} we asked What is the best price {rest}"), (3, "WHAT IS THE BEST PRICE?"), (4, "they said, what is the best price"),
+        (5, 'the shop sells 9 caps to "Tom" for 30 cents'), (6, f"{rest}. The shop sells 9 caps to Tom for 30 cents"),
+        (7, tale.format("Bob", 7, 4, "Carl", 6)), (8, f"{rest} Alice has {rest}"),
+    ]
+    assert leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3)}
+
+
 RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
 
