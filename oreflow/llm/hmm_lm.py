@@ -11,9 +11,10 @@ with one end token per text, and the sum over paths is the scaled forward recurs
 the whole text, so the likelihood is exact for texts of any length.  With one state the
 model is a unigram model; states can only add to it.
 
-Training covers every training text: expected counts are computed per partition and
-summed by (state, symbol) cell before anything reaches the driver, which only sees the
-model's own parameters.  Only the starting point comes from a bounded sample.  Word
+Training starts from seeded parameters that no data shapes, and every round covers every
+training text, until a round gains less than TOLERANCE: expected counts are computed per
+partition and summed by (state, symbol) cell before anything reaches the driver, which only
+sees the model's own parameters.  The symbols of the texts are stored for the rounds.  Word
 counts are exchanged in packed form (see ``blocks``); no vocabulary is broadcast.
 """
 
@@ -24,21 +25,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreflow.llm import blocks as B
 from oreflow.llm.scratch import kept
-from oreflow.llm.words import Words, mix, pieces, texts_of, words
+from oreflow.llm.words import Words, buffer_of, mix, pieces, texts_of, words
 
 SYMBOLS = 4096
 """Word classes; one more symbol is the end token."""
-START_TEXTS = 1500
-"""Bound of the sample that the starting point is fitted on."""
-START_ROUNDS = 12
-FULL_ROUNDS = 2
-PIECE = 6 << 20
-"""Bytes of text whose state probabilities a worker holds at once."""
+TOLERANCE = 1e-4
+"""Training ends when a round raises the mean log10 likelihood of a token by less."""
+PIECE = 3 << 20
+"""Bytes of symbols (two each) whose state probabilities a worker holds at once."""
 
 
 @dataclass
@@ -57,13 +57,15 @@ class Counts:
     start: np.ndarray
     step: np.ndarray
     emit: np.ndarray
+    score: float = 0.0
+    """Log10 likelihood of the texts under the model that gave the counts."""
 
     def cells(self) -> np.ndarray:
-        return np.concatenate([self.start, self.step.ravel(), self.emit.ravel()])
+        return np.concatenate([self.start, self.step.ravel(), self.emit.ravel(), [self.score]])
 
     @staticmethod
     def of(cells: np.ndarray, k: int) -> Counts:
-        return Counts(cells[:k], cells[k : k + k * k].reshape(k, k), cells[k + k * k :].reshape(k, -1))
+        return Counts(cells[:k], cells[k : k + k * k].reshape(k, k), cells[k + k * k : -1].reshape(k, -1), float(cells[-1]))
 
 
 def maximised(c: Counts) -> Model:
@@ -87,30 +89,45 @@ def with_ends(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(symbol, first[1:], SYMBOLS), first + np.arange(len(first))
 
 
-def _in_time(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts by falling length, and how many are longer than each t."""
+def _in_time(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts by falling length; bounds of each t's symbols; and the symbols by t, then by text in this order."""
     size = np.diff(first)
     order = np.argsort(-size, kind="stable")
     alive = len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), side="right")
-    return order, alive
+    bound = np.concatenate([[0], np.cumsum(alive)])
+    t = np.repeat(np.arange(len(alive)), alive)
+    return order, bound, symbol[first[:-1][order][np.arange(len(t)) - bound[t]] + t]
 
 
-def forward(m: Model, symbol: np.ndarray, first: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log10 likelihood of each symbol sequence; with keep, also scaled state probabilities and scales."""
-    order, alive = _in_time(first)
-    base, emit = first[:-1][order], np.ascontiguousarray(m.emit.T)
+def _forward(m: Model, order: np.ndarray, bound: np.ndarray, symbol: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 likelihood of each text in order; with keep, also scaled state probabilities and scales by t."""
+    emit, one = np.ascontiguousarray(m.emit.T), np.ones(m.states)
     total = np.zeros(len(order))
     alpha = np.empty((len(symbol), m.states)) if keep else np.empty((0, m.states))
     scale = np.empty(len(symbol)) if keep else np.empty(0)
     a = np.empty((0, m.states))
-    for t, n in enumerate(alive):
-        at = base[:n] + t
-        a = (a[:n] @ m.step if t else m.start[None, :]) * emit[symbol[at]]
-        c = a @ np.ones(m.states)
+    ends = bound.tolist()
+    for t, (low, high) in enumerate(zip(ends, ends[1:])):
+        n = high - low
+        e = emit.take(symbol[low:high], axis=0)
+        a = np.multiply(a[:n] @ m.step if t else m.start[None, :], e, out=e)
+        c = a @ one
         a /= c[:, None]
-        total[:n] += np.log10(c)
         if keep:
-            alpha[at], scale[at] = a, c
+            alpha[low:high], scale[low:high] = a, c
+        else:
+            total[:n] += np.log10(c)
+    if keep:
+        logs = np.log10(scale)
+        for low, high in zip(ends, ends[1:]):
+            total[: high - low] += logs[low:high]
+    return total, alpha, scale
+
+
+def forward(m: Model, symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 likelihood of each symbol sequence; and empty state probabilities and scales."""
+    order, bound, by_time = _in_time(symbol, first)
+    total, alpha, scale = _forward(m, order, bound, by_time, False)
     out = np.empty(len(order))
     out[order] = total
     return out, alpha, scale
@@ -118,21 +135,23 @@ def forward(m: Model, symbol: np.ndarray, first: np.ndarray, keep: bool = False)
 
 def expected(m: Model, symbol: np.ndarray, first: np.ndarray) -> Counts:
     """The E step over some whole texts."""
-    _, alpha, scale = forward(m, symbol, first, keep=True)
-    order, alive = _in_time(first)
-    base, emit = first[:-1][order], np.ascontiguousarray(m.emit.T)
-    gamma = alpha.copy()
+    order, bound, by_time = _in_time(symbol, first)
+    total, gamma, scale = _forward(m, order, bound, by_time, True)
+    emit, back_step = np.ascontiguousarray(m.emit.T), np.ascontiguousarray(m.step.T)
     step = np.zeros((m.states, m.states))
     b = np.ones((len(order), m.states))
-    for t in range(len(alive) - 1, 0, -1):
-        n = alive[t]
-        at = base[:n] + t
-        back = b[:n] * emit[symbol[at]] / scale[at][:, None]
-        step += alpha[at - 1].T @ back
-        b[:n] = back @ m.step.T
-        gamma[at - 1] *= b[:n]
-    weight = np.stack([np.bincount(symbol, weights=gamma[:, s], minlength=SYMBOLS + 1) for s in range(m.states)])
-    return Counts(gamma[first[:-1]].sum(0), step * m.step, weight)
+    ends = bound.tolist()
+    for t in range(len(ends) - 2, 0, -1):
+        low, n = ends[t], ends[t + 1] - ends[t]
+        back = emit.take(by_time[low : low + n], axis=0)
+        back *= b[:n]
+        back /= scale[low : low + n, None]
+        before = gamma[ends[t - 1] : ends[t - 1] + n]
+        step += before.T @ back
+        np.matmul(back, back_step, out=b[:n])
+        before *= b[:n]
+    weight = np.stack([np.bincount(by_time, weights=gamma[:, s], minlength=SYMBOLS + 1) for s in range(m.states)])
+    return Counts(gamma[: len(order)].sum(0), step * m.step, weight, float(total.sum()))
 
 
 def _symbol_sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,41 +159,45 @@ def _symbol_sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return with_ends(symbols_of(w), w.first)
 
 
-def _starting_point(texts: list[str | None], k: int, seed: int) -> Model:
-    symbol, first = _symbol_sequences(texts_of(pa.array(texts, pa.string())))
-    rng = np.random.default_rng(seed)
-    seen = np.bincount(symbol, minlength=SYMBOLS + 1) + 1.0
-    m = Model(np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), np.stack([x / x.sum() for x in seen * rng.gamma(2.0, size=(k, SYMBOLS + 1))]))
-    for _ in range(START_ROUNDS if len(first) > 1 else 0):
-        m = maximised(expected(m, symbol, first))
-    return m
+def _starting_point(k: int, seed: int) -> Model:
+    """Seeded parameters that depend on no data; states tend to stay."""
+    emit = np.random.default_rng(seed).gamma(2.0, size=(k, SYMBOLS + 1))
+    return Model(np.full(k, 1 / k), np.full((k, k), 0.1 / k) + 0.9 * np.eye(k), emit / emit.sum(1, keepdims=True))
 
 
 def trained(train: DataFrame, states: int = 6, seed: int = 0) -> Model:
-    """Baum-Welch over all texts of ``train`` (column text).
-
-    A bounded sample of START_TEXTS distinct texts (those with the smallest hashes, which are
-    found on the hashes alone) gives the starting point; FULL_ROUNDS rounds then cover every row.
-    """
-    marked = train.select("text", F.xxhash64("text").alias("h"))
-    last = marked.select("h").distinct().orderBy("h").limit(START_TEXTS).agg(F.max("h")).first()[0]
-    sample = marked.filter(F.col("h") <= last).dropDuplicates(["h"]).collect() if last is not None else []
-    model = _starting_point([r.text for r in sorted(sample, key=lambda r: r.h)], states, seed)
-    for _ in range(FULL_ROUNDS):
-        total = train.select("text").mapInArrow(_e_step(model), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+    """Baum-Welch over all texts of ``train`` (column text), all of them in every round, until a round gains less than TOLERANCE."""
+    sequences = kept(train.select("text").mapInArrow(_to_symbols, "symbols binary"), "symbols")
+    model, last = _starting_point(states, seed), -np.inf
+    while True:
+        total = sequences.mapInArrow(_e_step(model), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         cells = np.zeros(len(Counts(model.start, model.step, model.emit).cells()))
         for r in total.collect():
             cells[r.cell] = r.value
-        model = maximised(Counts.of(cells, states))
-    return model
+        counts = Counts.of(cells, states)
+        tokens = counts.emit.sum()
+        if tokens == 0 or counts.score / tokens - last < TOLERANCE:
+            return model
+        model, last = maximised(counts), counts.score / tokens
+
+
+def _to_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for p in pieces(batch):
+            symbol, first = _symbol_sequences(texts_of(p.column("text")))
+            packed = pa.Array.from_buffers(pa.binary(), p.num_rows, [None, pa.py_buffer((2 * first).astype(np.int32)), pa.py_buffer(symbol.astype(np.uint16))])
+            yield pa.RecordBatch.from_arrays([packed], ["symbols"])
 
 
 def _e_step(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for p in pieces(batch, most=PIECE):
-                got = expected(model, *_symbol_sequences(texts_of(p.column("text")))).cells()
+            # by length, so that few pieces have the many steps of a long text
+            batch = batch.take(pc.sort_indices(pc.binary_length(batch.column("symbols"))))
+            for p in pieces(batch, "symbols", PIECE):
+                data, at = buffer_of(p.column("symbols").cast(pa.large_binary()))
+                got = expected(model, np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), at // 2).cells()
                 total = got if total is None else total + got
         if total is not None:
             at = np.flatnonzero(total)

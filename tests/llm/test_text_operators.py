@@ -217,6 +217,17 @@ def test_hmm_beats_the_base_on_held_out_text(spark, tiny):
     assert r[0] > r[1]
 
 
+def test_hmm_training_converges_on_all_texts(spark):
+    rng = random.Random(11)
+    kinds = [[[f"{lang}{k}{''.join(rng.choices('abcdefghij', k=3))}" for _ in range(30)] for k in range(3)] for lang in "xyz"]
+    text = lambda lang, n: " ".join(rng.choice(kinds[lang][t % 3]) for t in range(n))
+    texts = [text(0, 12) for _ in range(2500)] + [text(1, 400) for _ in range(40)] + [text(2, 400) for _ in range(15)]
+    model = hmm_lm.trained(spark.createDataFrame([(t,) for t in texts], "text string"))
+    symbol, first = hmm_lm._symbol_sequences(pa.array(texts, pa.large_string()))
+    mean = lambda m: hmm_lm.forward(m, symbol, first)[0].sum() / len(symbol)
+    assert mean(hmm_lm.maximised(hmm_lm.expected(model, symbol, first))) - mean(model) < 1e-4
+
+
 def test_hmm_without_training_rows(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = hmm_lm.hmm_scores(docs, F.lit(False)).collect()
