@@ -16,8 +16,8 @@ def baskets(df: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame
     return sets.filter(F.size("items") > more_than)
 
 
-def apriori(basket_rows: DataFrame, support: int, most: int = 8) -> DataFrame:
-    """Itemsets of up to ``most`` items in at least ``support`` baskets: itemset (sorted array), size, freq.
+def apriori(basket_rows: DataFrame, support: int, most: int | None = None) -> DataFrame:
+    """Itemsets, of up to ``most`` items if given, in at least ``support`` baskets: itemset (sorted array), size, freq.
 
     Level-wise: a level's occurrences (basket, itemset) are the last level's, extended by a greater
     frequent item of the same basket.  Only frequent itemsets are extended, and each level is a
@@ -29,7 +29,7 @@ def apriori(basket_rows: DataFrame, support: int, most: int = 8) -> DataFrame:
     live = kept(long.join(one.select(F.col("itemset")[0].alias("item")), "item", "left_semi"), "items")
     found = kept(one, "level")
     result, level, size = found, live.select("basket", F.array("item").alias("itemset")), 1
-    while size < most:
+    while most is None or size < most:
         grown = level.join(live, "basket").filter(F.col("item") > F.element_at("itemset", -1)).select("basket", F.concat("itemset", F.array("item")).alias("itemset"))
         grown = kept(grown, "grown")
         found = kept(frequent(grown), "level")

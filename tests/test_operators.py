@@ -293,3 +293,9 @@ def test_streams_equal_batches(spark, tmp_path):
     writers.append_level_blocks(stream(), out, f"file://{tmp_path}/ck").awaitTermination()
     lines = [r[0] for r in rows(spark.read.text(out))]
     assert "a:150" in lines and "b:150" in lines and "" in lines
+
+
+def test_apriori_has_no_largest_size(spark):
+    data = [(i, [f"i{k}" for k in range(9)]) for i in range(3)]
+    got = itemsets.apriori(spark.createDataFrame(data, "basket int, items array<string>"), 3).collect()
+    assert len(got) == 2**9 - 1 and max(r.size for r in got) == 9
