@@ -1,4 +1,4 @@
-"""A Spark-native data-mining and analytics library.
+"""Functions from DataFrames to DataFrames: queries over ratings, baskets, texts, graphs and streams.
 
 Functions of this package travel to executors by value, so a cluster needs only
 PySpark, pyarrow and numpy on its workers, not this package.

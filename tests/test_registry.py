@@ -1,6 +1,9 @@
 """Every registered query of the library runs on the smallest tables; those with SQL equal it."""
 
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -43,3 +46,18 @@ def test_query_without_sql_runs(spark, tiny, name):
 def test_entry(spark, tiny):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_corpus_subpackage(tmp_path):
+    """A copy from which the corpus subpackage and its tests are deleted still lists the library's queries."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    leave = shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache")
+    for keep_pipeline in (True, False):
+        copy = tmp_path / f"copy{keep_pipeline}"
+        shutil.copytree(root, copy, ignore=leave)
+        if not keep_pipeline:
+            (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e; print(sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+        said = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True)
+        assert said.returncode == 0, said.stderr
+        assert said.stdout.strip() == str(sorted(registry.QUERIES))
