@@ -94,19 +94,26 @@ def formatted(turns: DataFrame, template: Template = Template()) -> DataFrame:
     return out.select("conv_id", F.size("rows").cast("long").alias("n_turns"), error.isNull().alias("valid"), error.alias("error_turn"), "segments", F.array_join("segments.text", "").alias("formatted"))
 
 
-def read_back(texts: DataFrame, template: Template = Template()) -> DataFrame:
-    """(conv_id, turns (array of role, text)) from (conv_id, formatted): the inverse of :func:`formatted`."""
+def read_back(texts: DataFrame, template: Template = Template(), carry: tuple = ()) -> DataFrame:
+    """(conv_id, formatted, turns (array of role, text), those to carry along) from (conv_id, formatted, ...):
+    the inverse of :func:`formatted`.  A null or empty formatted text has no turns."""
     t = template
     chunks = F.slice(F.split("formatted", _quoted(t.open)), F.lit(2), F.length("formatted"))
     text_of = lambda c: F.substring_index(F.split(c, _quoted(t.mid))[1], t.close, 1)
     turn = lambda c: F.struct(unescaped(F.substring_index(c, t.mid, 1)).alias("role"), unescaped(text_of(c)).alias("text"))
-    return texts.select("conv_id", "formatted", F.transform(chunks, turn).alias("turns"))
+    return texts.select("conv_id", "formatted", F.transform(chunks, turn).alias("turns"), *carry)
 
 
 def digests(formatted_rows: DataFrame, template: Template = Template()) -> DataFrame:
-    """Counts and digests, all read back from the formatted text."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, error_turn of
+    :func:`formatted`'s rows (conv_id, formatted, segments, valid, error_turn).
+
+    Turns are read back from the formatted text, and what is learned from the segments whose flag is
+    set.  A conversation without learned text has the digest of the empty text; an empty table gives
+    an empty result; repeated rows give a row each.
+    """
     sha = lambda s: F.sha2(F.encode(s, "UTF-8"), 256)
     every = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array(*map(F.lit, template.learned)).cast("array<string>")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: F.array_contains(learned, x["role"])), lambda x: x["text"]), "")
-    return read_back(formatted_rows, template).select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(every).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    loss = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescaped(x["text"])), "")
+    back = read_back(formatted_rows, template, ("valid", "error_turn", loss.alias("loss")))
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha(every).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "error_turn")
