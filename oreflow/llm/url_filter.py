@@ -46,6 +46,12 @@ class _Node:
     below: dict[str, _Node] = field(default_factory=dict)
     paths: _Node | None = None
     rules: dict[str, Rule] = field(default_factory=dict)
+    lengths: list[int] = field(default_factory=list)
+    """Lengths of the rules' rests, longest first."""
+
+    def add(self, rest: str, rule: Rule) -> None:
+        self.rules[rest] = rule
+        self.lengths = sorted({*self.lengths, len(rest)}, reverse=True)
 
 
 class Trie:
@@ -62,7 +68,7 @@ class Trie:
                 node = node.below.setdefault(segment, _Node())
             held = node.rules.get(rest)
             if held is None or rule.verdict == "block":
-                node.rules[rest] = rule
+                node.add(rest, rule)
 
     def match(self, host: str, path: str) -> tuple[int, Rule] | None:
         """The winning rule and its number of host labels."""
@@ -80,8 +86,8 @@ class Trie:
     def _longest(node: _Node, path: str) -> Rule | None:
         best, segments = None, path.split("/")
         for i, segment in enumerate(segments):
-            if node.rules:
-                best = next((node.rules[segment[:n]] for n in range(len(segment), -1, -1) if segment[:n] in node.rules), best)
+            # only the lengths that rules have, so a segment of any length costs a few lookups
+            best = next((node.rules[segment[:n]] for n in node.lengths if n <= len(segment) and segment[:n] in node.rules), best)
             if i == len(segments) - 1 or segment not in node.below:
                 break
             node = node.below[segment]
