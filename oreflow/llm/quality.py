@@ -23,6 +23,7 @@ SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
 _FROM, _TO = "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"
 _PLACE_BITS = 28
+"""Low bits of a sort key that hold a window's position; the others hold a part of its hash."""
 
 
 @dataclass(frozen=True)
@@ -67,25 +68,31 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     For the repeated words, (36 bits of a three-word window's hash, its position) are sorted as
     plain longs, so equal windows become neighbours; neighbours are compared word by word; and
-    each repeated window covers the words up to the next one's start, three at most.  The steps
-    are columns of their own so that each is computed once and the sort runs on a primitive array.
+    each repeated window covers the words up to the next one's start, three at most.  If two
+    different windows of a text share the 36 bits, that text's windows are sorted by all 64 bits.
+    The steps are columns of their own so that each is computed once and the sort runs on a
+    primitive array.  A null text counts as an empty one; rows are judged each for itself; a text
+    has fewer than 2**28 words.
     """
     place = F.lit((1 << _PLACE_BITS) - 1)
     text = F.coalesce("text", F.lit(""))
     no = F.lit(None).cast("array<bigint>")
     w = F.col("_w")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
-    key = lambda i: F.shiftleft(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), _PLACE_BITS).bitwiseOR(i.cast("long"))
+    code = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    key = lambda i: F.shiftleft(code(i), _PLACE_BITS).bitwiseOR(i.cast("long"))
+    windows = F.sequence(F.lit(0), F.size("_w") - 3)
+    next_to = lambda x: F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))
     same = lambda a, b: F.shiftrightunsigned(a.bitwiseXOR(b), _PLACE_BITS) == 0
-    pair = F.struct(F.lit(0).cast("int").alias("a"), F.lit(0).cast("int").alias("b"))
     at = lambda x: x.bitwiseAND(place).cast("int")
     equal = lambda p: (F.get(w, p["a"]) == F.get(w, p["b"])) & (F.get(w, p["a"] + 1) == F.get(w, p["b"] + 1)) & (F.get(w, p["a"] + 2) == F.get(w, p["b"] + 2))
     return (
         docs.withColumn("_w", words_of(F.col("text")))
         .withColumn("_l", lines)
-        .withColumn("_k", F.sort_array(F.when(F.size("_w") >= 4, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), key)).otherwise(no)))
-        .withColumn("_p", F.filter(F.zip_with("_k", F.slice("_k", 2, F.greatest(F.size("_k"), F.lit(1))), lambda a, b: F.when(same(a, b), F.struct(at(a).alias("a"), at(b).alias("b")))), lambda p: p.isNotNull()))
-        .withColumn("_p", F.filter("_p", equal))
+        .withColumn("_k", F.sort_array(F.when(F.size("_w") >= 4, F.transform(windows, key)).otherwise(no)))
+        .withColumn("_p", F.filter(F.zip_with("_k", next_to("_k"), lambda a, b: F.when(same(a, b), F.struct(at(a).alias("a"), at(b).alias("b")))), lambda p: p.isNotNull()))
+        .withColumn("_x", F.when(F.exists("_p", lambda p: ~equal(p)), F.sort_array(F.transform(windows, lambda i: F.struct(code(i).alias("h"), i.alias("i"))))))
+        .withColumn("_p", F.when(F.col("_x").isNull(), F.col("_p")).otherwise(F.filter(F.zip_with("_x", next_to("_x"), lambda a, b: F.when(a["h"] == b["h"], F.struct(a["i"].alias("a"), b["i"].alias("b")))), lambda p: p.isNotNull() & equal(p))))
         .withColumn("_p", F.sort_array(F.array_distinct(F.concat(F.transform("_p", lambda p: p["a"]), F.transform("_p", lambda p: p["b"])))))
         .withColumns({
             "n_words": F.size("_w").cast("long"),
@@ -94,7 +101,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": _here(F.coalesce(F.aggregate("_p", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("at")), lambda s, x: F.struct((s["n"] + F.least(x - s["at"], F.lit(3))).alias("n"), x.alias("at")))["n"], F.lit(0)).cast("long")),
         })
-        .drop("_w", "_l", "_k", "_p")
+        .drop("_w", "_l", "_k", "_p", "_x")
     )
 
 
