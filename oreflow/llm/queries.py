@@ -17,7 +17,7 @@ from oreflow.llm.quality import quality
 from oreflow.llm.scratch import kept, new_path
 from oreflow.llm.substring_dedup import kept_digest, substring_dedup
 from oreflow.llm.url_filter import Rule, url_verdicts
-from oreflow.llm.warc import WarcDataSource
+from oreflow.llm.warc import registered
 
 URL_RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
@@ -78,8 +78,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the pages as WARC archives in the shared folder and reads these back."""
-    spark.dataSource.register(WarcDataSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    registered(spark)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     large = F.col("payload_bytes") >= 1000
@@ -154,11 +153,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_w
 
 _CONTROLS = "|".join("".join("\\" + c if not c.isalnum() else c for c in x) for x in chat.Template().controls)
 _EXTRA = lambda c: f"(length({c}) + length({c}) - length(replace({c}, chr(92), '')) + len(regexp_extract_all({c}, '{_CONTROLS}')))"
+_ARCS = "(" + ", ".join(f"('{a}', '{b}')" for a, bs in chat.Template().follows.items() for b in bs) + ")"
 _OP9 = f"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+p AS (SELECT *, row_number() OVER o - 1 AS pos, lag(role, 1, '') OVER o AS state, lead(role) OVER o IS NULL AS is_last FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+m AS (SELECT *, (state, role) IN {_ARCS} AS fits FROM p)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
 CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-CAST(sum({_EXTRA('role')} + {_EXTRA('text')} + {len(chat.Template().open + chat.Template().mid + chat.Template().close)}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id
+CAST(sum({_EXTRA('role')} + {_EXTRA('text')} + {len(chat.Template().open + chat.Template().mid + chat.Template().close)}) AS BIGINT) AS formatted_chars,
+coalesce(min(pos) FILTER (NOT fits), max(pos + 1) FILTER (is_last AND role <> 'assistant')) IS NULL AS valid, CAST(coalesce(min(pos) FILTER (NOT fits), max(pos + 1) FILTER (is_last AND role <> 'assistant')) AS INT) AS error_turn FROM m GROUP BY conv_id
 """
 
 _OP10 = """

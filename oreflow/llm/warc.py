@@ -9,9 +9,13 @@ member's length, which this writer notes in the gzip header's extra field (``sl`
 the format's annex on record-at-time compression).  Members of other writers have no such
 field; they are inflated to find their end, but not kept.
 
-Files are opened through ``pyarrow.fs``, by URI.  Tasks write under ``_temporary``; the
-commit moves the files of the tasks that Spark has accepted, so a task that ran twice, or
-on an executor that was lost, leaves nothing behind.
+A file is read forward through one buffer.  A file is one task's work, as a member's start
+can't be told from a payload's bytes, so the writer begins a new file after FILE_BYTES.
+
+Files are opened through ``pyarrow.fs``, by URI.  Tasks write under ``_temporary``, in a folder
+of the write's own; the commit moves the files of the tasks that Spark has accepted, so a task
+that ran twice, or on an executor that was lost, leaves nothing behind.  A write in mode
+``overwrite`` then deletes the archives that were there before.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
@@ -33,6 +38,9 @@ _HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_u
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _READ = 1 << 16
 PARTITION_BYTES = 128 << 20
+FILE_BYTES = 256 << 20
+"""A task's next record begins a new file once the last one has so many bytes."""
+_ARCHIVE = re.compile(r"\.warc(\.gz)?$")
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
@@ -44,6 +52,15 @@ def _filesystem(path: str):
     return fs.LocalFileSystem(), path
 
 
+def _archives(fs, root: str) -> list:
+    """The archives at or below a path, in order."""
+    from pyarrow.fs import FileSelector, FileType
+
+    info = fs.get_file_info(root)
+    found = [info] if info.type == FileType.File else fs.get_file_info(FileSelector(root, recursive=True)) if info.type == FileType.Directory else []
+    return sorted((x for x in found if x.type == FileType.File and _ARCHIVE.search(x.path) and "/_temporary/" not in x.path), key=lambda x: x.path)
+
+
 # Writing
 
 
@@ -80,48 +97,54 @@ def gzip_member(data: bytes) -> bytes:
 
 @dataclass
 class _Written(WriterCommitMessage):
-    name: str | None
+    names: list[str]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, compressed: bool):
-        self.path, self.compressed = path.rstrip("/"), compressed
+    def __init__(self, path: str, compressed: bool, overwrite: bool = False, file_bytes: int = FILE_BYTES):
+        self.path, self.compressed, self.overwrite, self.file_bytes = path.rstrip("/"), compressed, overwrite, file_bytes
+        self.folder = f"_temporary/{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         fs, root = _filesystem(self.path)
-        name, out = None, None
+        names, out = [], None
         for batch in iterator:
-            for row in batch.to_pylist():
+            for one in range(batch.num_rows):
+                row = batch.slice(one, 1).to_pylist()[0]
                 if out is None:
                     context = TaskContext.get()
-                    name = f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}.warc" + ".gz" * self.compressed
-                    fs.create_dir(f"{root}/_temporary", recursive=True)
-                    out = fs.open_output_stream(f"{root}/_temporary/{name}", compression=None)
+                    names.append(f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}.warc" + ".gz" * self.compressed)
+                    fs.create_dir(f"{root}/{self.folder}", recursive=True)
+                    out = fs.open_output_stream(f"{root}/{self.folder}/{names[-1]}", compression=None)
                 record = encoded_record(row)
                 out.write(gzip_member(record) if self.compressed else record)
+                if out.tell() >= self.file_bytes:
+                    out.close()
+                    out = None
         if out is not None:
             out.close()
-        return _Written(name)
+        return _Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        for m in messages:
-            if m is not None and m.name:
-                fs.move(f"{root}/_temporary/{m.name}", f"{root}/{m.name}")
+        old = [x.path for x in _archives(fs, root)] if self.overwrite else []
+        for name in (n for m in messages if m is not None for n in m.names):
+            fs.move(f"{root}/{self.folder}/{name}", f"{root}/{name}")
+        for path in old:
+            fs.delete_file(path)
         self._clean(fs, root)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._clean(*_filesystem(self.path))
 
-    @staticmethod
-    def _clean(fs, root: str) -> None:
+    def _clean(self, fs, root: str) -> None:
         from pyarrow.fs import FileType
 
-        if fs.get_file_info(f"{root}/_temporary").type == FileType.Directory:
-            fs.delete_dir(f"{root}/_temporary")
+        if fs.get_file_info(f"{root}/{self.folder}").type == FileType.Directory:
+            fs.delete_dir(f"{root}/{self.folder}")
 
 
 # Reading
@@ -132,53 +155,98 @@ class _Files(InputPartition):
     paths: list[str]
 
 
-class _Source:
-    """Bytes of one record, plain or inflated, from a file at a position."""
-
-    def __init__(self, file, at: int):
-        self.file, self.at = file, at
-        file.seek(at)
-        first = file.read(_READ)
-        self.empty = not first.strip(b"\r\n\x00") if len(first) < _READ else False
-        self.size = None
-        self.gzip = first[:2] == b"\x1f\x8b"
-        if not self.gzip:
-            skip = len(first) - len(first.lstrip(b"\r\n"))
-            self.at, self.raw, self.data = at + skip, b"", first[skip:]
-            return
-        start, self.size = _gzip_start(first)
-        self.inflate = zlib.decompressobj(-15)
-        self.base, self.data = at + start, b""
-        self.fed = 0
-        self._feed(first[start:])
-
-    def _feed(self, raw: bytes, limit: int = _READ) -> None:
-        self.data += self.inflate.decompress(raw, limit)
-        self.raw = self.inflate.unconsumed_tail
-        self.fed += len(raw) - len(self.raw) - len(self.inflate.unused_data)
+class _Buffer:
+    """A file read forward in pieces: bytes that a record leaves in the buffer serve the next one, and a
+    skip beyond it is a seek, so no byte is read twice."""
+
+    def __init__(self, file):
+        self.file, self.at, self.data, self.place = file, 0, b"", 0
+
+    def goto(self, at: int) -> None:
+        """Make ``at`` the current byte."""
+        if self.at <= at <= self.at + len(self.data):
+            self.place = at - self.at
+        else:
+            self.file.seek(at)
+            self.at, self.data, self.place = at, b"", 0
+
+    def chunk(self) -> bytes:
+        """What the buffer holds from the current byte on, read anew where it is used up; empty at the end of the file."""
+        if self.place >= len(self.data):
+            self.at += len(self.data)
+            self.data, self.place = self.file.read(_READ), 0
+        out = self.data[self.place :] if self.place else self.data
+        self.place = len(self.data)
+        return out
+
+    def head(self, size: int) -> bytes:
+        """The next bytes, ``size`` of them unless the file ends, without moving on."""
+        if len(self.data) - self.place < size:
+            rest = self.data[self.place :]
+            self.at += self.place
+            self.data, self.place = rest + self.file.read(_READ), 0
+        return self.data[self.place : self.place + size]
+
+
+class _Record:
+    """Bytes of one record, plain or inflated, from a buffer at a position."""
+
+    def __init__(self, buffer: _Buffer, at: int):
+        buffer.goto(at)
+        self.buffer, self.size = buffer, None
+        while (head := buffer.head(_READ)) and not head.strip(b"\r\n\x00"):
+            at += len(head)
+            buffer.goto(at)
+        self.empty = not head
+        self.gzip = head[:2] == b"\x1f\x8b"
+        skip = 0 if self.gzip else len(head) - len(head.lstrip(b"\r\n"))
+        self.at = at + skip
+        buffer.goto(self.at)
+        self.parts, self.held, self.raw = [], 0, b""
+        if self.gzip:
+            start, self.size = _gzip_start(head)
+            self.inflate, self.base, self.fed = zlib.decompressobj(-15), at + start, 0
+            buffer.goto(self.base)
 
     def more(self) -> bool:
         """Read on; whether there was anything."""
         if not self.gzip:
-            raw = self.file.read(_READ)
-            self.data += raw
-            return bool(raw)
-        if self.inflate.eof:
+            data = self.buffer.chunk()
+        elif self.inflate.eof:
             return False
-        raw = self.raw or self.file.read(_READ)
-        before = len(self.data)
-        self._feed(raw)
-        return bool(raw) or len(self.data) > before
+        else:
+            raw = self.raw or self.buffer.chunk()
+            data = self.inflate.decompress(raw, _READ)
+            # at the member's end what is left is unused data; the tail may repeat it
+            self.raw = b"" if self.inflate.eof else self.inflate.unconsumed_tail
+            self.fed += len(raw) - len(self.inflate.unused_data if self.inflate.eof else self.raw)
+            if raw and not data:
+                return True
+        self.parts.append(data)
+        self.held += len(data)
+        return bool(data)
+
+    @property
+    def data(self) -> bytes:
+        if len(self.parts) > 1:
+            self.parts = [b"".join(self.parts)]
+        return self.parts[0] if self.parts else b""
 
     def until(self, mark: bytes, start: int) -> int:
         """Position after the mark, -1 if there is none."""
-        while (found := self.data.find(mark, start)) < 0:
+        found = self.data.find(mark, start)
+        tail = self.data[max(start, self.held - len(mark) + 1) :]
+        while found < 0:
+            before, n = self.held - len(tail), len(self.parts)
             if not self.more():
                 return -1
+            seen = tail + b"".join(self.parts[n:])
+            at, tail = seen.find(mark), seen[-len(mark) + 1 :]
+            found = before + at if at >= 0 else -1
         return found + len(mark)
 
     def span(self, start: int, end: int) -> bytes:
-        while len(self.data) < end and self.more():
+        while self.held < end and self.more():
             pass
         return self.data[start:end]
 
@@ -189,7 +257,7 @@ class _Source:
         if self.size is not None:
             return self.at + self.size
         while not self.inflate.eof and self.more():
-            self.data = b""
+            self.parts = []
         return self.base + self.fed + 8
 
 
@@ -237,9 +305,9 @@ def _holds(f: Filter, row: dict) -> bool:
 
 def records(file, size: int, filters: list[Filter], payload: bool) -> Iterator[dict]:
     """The records of one file that pass the filters."""
-    at = 0
+    at, buffer = 0, _Buffer(file)
     while at < size:
-        source = _Source(file, at)
+        source = _Record(buffer, at)
         if source.empty:
             return
         head = source.until(b"\r\n\r\n", 0)
@@ -267,24 +335,9 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, payload: bool):
         self.path, self.payload, self.filters = path, payload, []
 
-    def pushFilters(self, filters: list[Filter]):
-        """Takes equality, membership, prefix and null tests on header columns; leaves the rest to Spark."""
-        for f in filters:
-            known = isinstance(f, (EqualTo, In, StringStartsWith, IsNotNull)) and len(f.attribute) == 1
-            if known and (f.attribute[0] in _HEADERS or f.attribute[0] == "payload_digest"):
-                self.filters.append(f)
-            else:
-                yield f
-
     def partitions(self) -> list[InputPartition]:
-        from pyarrow.fs import FileSelector, FileType
-
-        fs, root = _filesystem(self.path)
-        info = fs.get_file_info(root)
-        found = [info] if info.type == FileType.File else fs.get_file_info(FileSelector(root, recursive=True)) if info.type == FileType.Directory else []
-        files = sorted((x for x in found if x.type == FileType.File and re.search(r"\.warc(\.gz)?$", x.path) and "/_temporary/" not in x.path), key=lambda x: x.path)
         groups, held = [], 0
-        for x in files:
+        for x in _archives(*_filesystem(self.path)):
             if not groups or held + x.size > PARTITION_BYTES:
                 groups.append([])
                 held = 0
@@ -307,8 +360,26 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
+class PushingWarcReader(WarcReader):
+    def pushFilters(self, filters: list[Filter]):
+        """Takes equality, membership, prefix and null tests on header columns; leaves the rest to Spark."""
+        for f in filters:
+            known = isinstance(f, (EqualTo, In, StringStartsWith, IsNotNull)) and len(f.attribute) == 1
+            if known and (f.attribute[0] in _HEADERS or f.attribute[0] == "payload_digest"):
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class WarcDataSource(DataSource):
-    """Options: path; payload (``true``; ``false`` leaves all payloads undecoded); compression (``gzip`` or ``none``)."""
+    """Options: path; payload (``true``; ``false`` leaves all payloads undecoded); pushdown (``true``; ``false``
+    for sessions where ``spark.sql.python.filterPushdown.enabled`` is not set, which refuse readers that take
+    predicates); compression (``gzip`` or ``none``); file_bytes (a file's size, about).
+
+    Null header values are left out and read back as null; a null payload is an empty one.  Rows alike are
+    records each; no rows make no file, and a path without archives reads as an empty table.  A payload of
+    any length is one row, held in memory as such.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -318,7 +389,14 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
+        kind = WarcReader if self.options.get("pushdown", "true").lower() == "false" else PushingWarcReader
+        return kind(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"], self.options.get("compression", "gzip") == "gzip")
+        return WarcWriter(self.options["path"], self.options.get("compression", "gzip") == "gzip", overwrite, int(self.options.get("file_bytes", FILE_BYTES)))
+
+
+def registered(spark: SparkSession) -> None:
+    """Make the format known to the session, and let it push predicates down."""
+    spark.dataSource.register(WarcDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from oreflow.llm import chat_format, mixing, warc
+from oreflow.llm import quality as quality_module
 from oreflow.llm.decontaminate import clean, contaminated
 from oreflow.llm.quality import Limits, quality
 from oreflow.llm.scratch import new_path
@@ -53,6 +55,13 @@ def test_quality_statistics_equal_brute_force(spark):
         assert not (r.base_failed and r.kept)
 
 
+def test_repeated_windows_with_colliding_hashes(spark, monkeypatch):
+    monkeypatch.setattr(quality_module, "_PLACE_BITS", 58)  # six bits of the hash are left
+    rows = [r for r in quality_rows() if r[0] != 7]
+    got = quality(spark.createDataFrame(rows, QUALITY)).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {r[0]: brute_statistics(r[1])[4] for r in rows}
+
+
 def test_frequent_lines_go_and_depleted_documents_too(spark):
     rng = random.Random(2)
     body = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))
@@ -141,6 +150,17 @@ def test_chat_round_trip_of_control_strings(spark):
             assert not any(c in s for c in chat_format.Template().controls)
 
 
+def test_chat_digest_follows_the_flags(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "u"), (1, 1, "assistant", "</s> a\\"), (1, 2, "user", "v"), (1, 3, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    rows = chat_format.formatted(turns)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    plain = chat_format.digests(rows).first()
+    assert (plain.loss_chars, plain.loss_sha256, plain.valid, plain.error_turn) == (8, sha("</s> a\\b"), True, None)
+    flipped = rows.withColumn("segments", F.transform("segments", lambda x: x.withField("loss", ~x["loss"] & (x["kind"] == "text"))))
+    assert (chat_format.digests(flipped).first().loss_sha256, chat_format.digests(flipped).first().turns_sha256) == (sha("uv"), plain.turns_sha256)
+    assert "aggregate" in chat_format.digests(rows)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_chat_machine_and_loss(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "u"), (1, 2, "assistant", None), (2, 0, "user", "u"), (2, 1, "user", "v"), (3, 0, "user", "x"), (4, 5, None, "x"), (None, 0, "user", "a"), (None, 1, "assistant", "b")]
     got = {r.conv_id: r for r in chat_format.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
@@ -258,6 +278,15 @@ def test_url_verdicts(spark):
     assert {r.verdict for r in url_verdicts(pages, [], default="block").collect()} == {"block"}
 
 
+def test_long_url_segments_cost_a_few_lookups():
+    trie = Trie([*RULES, Rule("block", "org", "/" + "a" * 50)])
+    began = time.time()
+    for tail in ("a" * 1_000_000, "a" * 49, "b" * 1_000_000, "a/" * 500_000):
+        found = trie.match("x.org", "/" + tail)
+        assert found[1].verdict == ("block" if tail.startswith("a" * 50) else "allow")
+    assert time.time() - began < 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["allow", "block"]), st.sampled_from(["a", "b.a", "c.b.a"]), st.sampled_from(["/", "/x", "/x/", "/x/y", "/x/yz", "/xy/"])), max_size=6), st.sampled_from(["a", "b.a", "d.c.b.a", "z"]), st.sampled_from(["", "/", "/x", "/x/yz/w", "/xy/", "/q"]))
 def test_trie_against_scan(rules, host, path):
@@ -288,6 +317,56 @@ def test_warc_records_round_trip(pack):
     assert all(r["payload"] is None for r in warc.records(io.BytesIO(data), len(data), [], False))
 
 
+class Counted(io.BytesIO):
+    """Counts what is read."""
+
+    taken = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.taken += len(out)
+        return out
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, warc.gzip_member], ids=["plain", "sl"])
+def test_warc_skips_without_reading_twice(pack):
+    rng = random.Random(9)
+    rows = [{**RECORD, "record_id": f"urn:x:{i}", "payload": rng.randbytes(rng.choice([10, 3000, 500_000])), "payload_bytes": 1} for i in range(400)]
+    data = b"".join(pack(warc.encoded_record(r)) for r in rows)
+    file = Counted(data)
+    assert list(warc.records(file, len(data), [warc.EqualTo(("record_type",), "revisit")], True)) == []
+    assert file.taken <= 1.05 * len(data)
+    file = Counted(data)
+    assert len(list(warc.records(file, len(data), [], True))) == 400 and file.taken <= 1.05 * len(data)
+
+
+@pytest.mark.parametrize("pack", [lambda x: x, warc.gzip_member, lambda x: __import__("gzip").compress(x, 1)], ids=["plain", "sl", "gzip"])
+def test_warc_long_payload(pack):
+    body = random.Random(10).randbytes(1 << 20) * 50
+    row = {**RECORD, "payload": body, "payload_bytes": len(body)}
+    data = pack(warc.encoded_record(row)) + pack(warc.encoded_record(RECORD)) + b"\r\n" * 40_000
+    got = list(warc.records(io.BytesIO(data), len(data), [], True))
+    assert [r["payload_bytes"] for r in got] == [len(body), 11] and got[0]["payload"] == body and got[1]["payload"] == RECORD["payload"]
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(b"no archive" * 10), 100, [], True))
+
+
+def test_warc_overwrite_and_file_size(spark):
+    warc.registered(spark)
+    path = new_path(spark, "warc-over")
+    rows = spark.createDataFrame([(f"urn:{i}", "response", None, "2024-01-01T00:00:00Z", None, None, 5, bytes(random.Random(i).randbytes(5000))) for i in range(40)], warc.SCHEMA).coalesce(1)
+    for mode, n in (("append", 40), ("append", 80), ("overwrite", 40), ("overwrite", 40)):
+        rows.write.format("warc").mode(mode).option("file_bytes", 50_000).save(path)
+        assert spark.read.format("warc").load(path).count() == n
+    import os
+
+    names = [x for x in os.listdir(path.removeprefix("file://")) if x.endswith(".warc.gz")]
+    assert len(names) == 4
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert spark.read.format("warc").option("pushdown", "false").load(path).filter("record_id = 'urn:3'").count() == 1
+    warc.registered(spark)
+
+
 @pytest.mark.parametrize("compression", ["gzip", "none"])
 def test_warc_data_source(spark, compression):
     spark.dataSource.register(warc.WarcDataSource)
