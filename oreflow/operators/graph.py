@@ -51,13 +51,13 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
 
 def label_propagation(edges: DataFrame, max_iter: int = 5) -> DataFrame:
-    """(node, label) after synchronous rounds; the most frequent neighbour label, ties to the smallest."""
+    """(node, label) after synchronous rounds; the most frequent neighbour label, ties to the smallest.  Nodes are of any type that has an order."""
     both = kept(symmetric(edges), "edges")
     label = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(max_iter):
         votes = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("m"))
-        label = kept(best.select("node", (-F.col("m.l")).alias("label")), "label")
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("m"))
+        label = kept(best.select("node", F.col("m.label").alias("label")), "label")
     return label
 
 
