@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset (as in
-tests on one machine) a temporary local folder is chosen.
+The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the
+session runs on one machine (as in tests) a temporary local folder is chosen.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder as a URI, without a trailing slash."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             folder = tempfile.mkdtemp(prefix="oreflow-")
@@ -35,11 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/oreflow/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def kept(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder (``options`` are the writer's) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._oreflow_path = path
     return out
