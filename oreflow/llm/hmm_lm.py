@@ -15,7 +15,8 @@ Training starts from seeded parameters that no data shapes, and every round cove
 training text, until a round gains less than TOLERANCE: expected counts are computed per
 partition and summed by (state, symbol) cell before anything reaches the driver, which only
 sees the model's own parameters.  The symbols of the texts are stored for the rounds.  Word
-counts are exchanged in packed form (see ``blocks``); no vocabulary is broadcast.
+counts are exchanged between blocks of texts (see ``blocks``), under a key that holds the word's
+symbol in its lowest bits; no vocabulary is broadcast.
 """
 
 from __future__ import annotations
@@ -166,8 +167,14 @@ def _starting_point(k: int, seed: int) -> Model:
 
 
 def trained(train: DataFrame, states: int = 6, seed: int = 0) -> Model:
-    """Baum-Welch over all texts of ``train`` (column text), all of them in every round, until a round gains less than TOLERANCE."""
-    sequences = kept(train.select("text").mapInArrow(_to_symbols, "symbols binary"), "symbols")
+    """Baum-Welch over all texts of ``train`` (column text), all of them in every round, until a round gains less than TOLERANCE.
+
+    Null and wordless texts are an end alone; without texts the seeded start is the model.
+    """
+    return _converged(kept(train.select("text").mapInArrow(_to_symbols, "symbols binary"), "symbols"), states, seed)
+
+
+def _converged(sequences: DataFrame, states: int, seed: int) -> Model:
     model, last = _starting_point(states, seed), -np.inf
     while True:
         total = sequences.mapInArrow(_e_step(model), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value"))
@@ -189,6 +196,11 @@ def _to_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([packed], ["symbols"])
 
 
+def _block_symbols(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Symbol sequences of a block's training texts."""
+    yield from _to_symbols(docs.filter(docs.column("train")).to_batches())
+
+
 def _e_step(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -206,63 +218,43 @@ def _e_step(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-_SENT = "bucket int, block int, keys binary, counts binary, symbols binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("symbols", pa.binary())])
-
-
-def _vocabulary(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct words of a block in hash order, their training counts, symbols, and each piece's positions among them."""
-    keys, symbols, train = [], [], []
-    held = table.column("train").to_pylist()
-    at = 0
-    for p in pieces(table):
-        w = words(texts_of(p.column("text")), lower=True)
-        keys.append(w.hashes())
-        symbols.append(symbols_of(w))
-        train.append(np.repeat(np.array(held[at : at + p.num_rows], np.int64), w.counts))
-        at += p.num_rows
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    start = B.runs(every[order])
-    place = np.empty(len(every), np.int64)
-    place[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(every))))
-    count = np.bincount(place, weights=np.concatenate(train), minlength=len(start)).astype(np.int64)
-    return every[order][start], count, np.concatenate(symbols)[order][start], np.split(place, np.cumsum([len(x) for x in keys])[:-1])
-
-
-def _send_words(n_buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        key, count, symbol, _ = _vocabulary(table)
-        bounds, rows = B.cuts(key, n_buckets), []
-        for b in np.flatnonzero(np.diff(bounds)):
-            part = slice(bounds[b], bounds[b + 1])
-            rows.append({"bucket": int(b), "block": table.column("block")[0].as_py(), "keys": key[part].tobytes(), "counts": count[part].astype(np.uint32).tobytes(), "symbols": symbol[part].astype(np.uint16).tobytes()})
-        return pa.Table.from_pylist(rows, schema=_SENT_ARROW)
+def _keys(w: Words) -> np.ndarray:
+    """A word's key: 52 bits of its hash over the 12 bits of its symbol."""
+    return w.hashes() & np.uint64(2**64 - SYMBOLS) | symbols_of(w).astype(np.uint64)
+
+
+def _send_words(exchange: B.Exchange):
+    """A block's words with their training counts; words that only stand in other texts are asked for with 0."""
+
+    def send(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for p in pieces(docs):
+            w = words(texts_of(p.column("text")), lower=True)
+            keys.append(_keys(w))
+            counts.append(np.repeat(p.column("train").to_numpy().astype(np.uint64), w.counts))
+        yield from exchange.sent(block, np.concatenate(keys), np.concatenate(counts)).to_batches()
 
     return send
 
 
-_REPLY = "bucket int, block int, totals binary, symbol array<int>, vocab array<long>, total array<long>"
-_REPLY_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("totals", pa.binary()), ("symbol", pa.list_(pa.int32())), ("vocab", pa.list_(pa.int64())), ("total", pa.list_(pa.int64()))])
-
-
-def _count_words(table: pa.Table) -> pa.Table:
-    """Total training counts for each block's words in its order; and a row without a block: this bucket's share of every symbol's counts."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-    every = np.concatenate(keys)
-    order = np.argsort(every, kind="stable")
-    start = B.runs(every[order])
-    count = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]).astype(np.int64)[order]
-    symbol = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("symbols")])[order][start].astype(np.int64)
-    sums = np.add.reduceat(count, start)
-    total = np.empty(len(every), np.int64)
-    total[order] = np.repeat(sums, np.diff(np.append(start, len(every))))
-    bucket = table.column("bucket")[0].as_py()
-    rows = [{"bucket": bucket, "block": b, "totals": t.astype(np.uint64).tobytes()} for b, t in zip(table.column("block").to_pylist(), np.split(total, np.cumsum([len(k) for k in keys])[:-1]))]
-    vocab, seen = np.bincount(symbol[sums > 0], minlength=SYMBOLS), np.bincount(symbol, weights=sums, minlength=SYMBOLS)
+_BY_SYMBOL = np.dtype([("vocab", "<u8"), ("total", "<u8")])
+
+
+def _by_symbol(keys: np.ndarray, totals: np.ndarray) -> tuple[bytes, bytes]:
+    """Of a range of the key space: symbols (uint16), and the distinct words and tokens seen of each."""
+    symbol = (keys & np.uint64(SYMBOLS - 1)).astype(np.int64)
+    vocab, seen = np.bincount(symbol[totals > 0], minlength=SYMBOLS), np.bincount(symbol, weights=totals, minlength=SYMBOLS)
     at = np.flatnonzero(seen)
-    rows.append({"bucket": bucket, "block": None, "symbol": at, "vocab": vocab[at], "total": seen[at].astype(np.int64)})
-    return pa.Table.from_pylist(rows, schema=_REPLY_ARROW)
+    sums = np.empty(len(at), _BY_SYMBOL)
+    sums["vocab"], sums["total"] = vocab[at], seen[at]
+    return at.astype(np.uint16).tobytes(), sums.tobytes()
+
+
+def _explode_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("keys"), batch.column("vals")):
+            sums = np.frombuffer(b.as_buffer(), _BY_SYMBOL)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a.as_buffer(), np.uint16).astype(np.int32)), pa.array(sums["vocab"].astype(np.int64)), pa.array(sums["total"].astype(np.int64))], ["symbol", "vocab", "total"])
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -272,14 +264,13 @@ _SCORES_SQL = "doc_id long, train boolean, n_tokens long, n_known long, base_sco
 def _scorer(model: Model, log_share: np.ndarray, end_count: int, base: float):
     """log_share: of each symbol, log10 of the denominator of q.  base: log10 of the base model's denominator."""
 
-    def score(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        _, _, _, places = _vocabulary(docs)
-        ranked = sorted(zip(replies.column("bucket").to_pylist(), replies.column("totals")), key=lambda x: x[0])
-        total = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_py(), np.uint64) for _, x in ranked)]).astype(np.int64)
+    def score(block: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        key, total = B.replied(replies, B.TOTAL.value)
         log_count = np.log10(total + 1.0)
         out = []
-        for p, place in zip(pieces(docs), places):
+        for p in pieces(docs):
             w = words(texts_of(p.column("text")), lower=True)
+            place = np.searchsorted(key, _keys(w))
             symbol = symbols_of(w)
             owner = w.doc_of_word()
             by_doc = lambda x: np.bincount(owner, weights=x, minlength=p.num_rows)  # noqa: B023, E731
@@ -307,19 +298,17 @@ def hmm_scores(docs: DataFrame, is_train: Column, states: int = 6, seed: int = 0
     zero and the states stay near their start.  Empty input, empty result.
     """
     flag = F.coalesce(is_train, F.lit(True))
-    marked = docs.select("doc_id", "text", flag.alias("train"))
-    total = B.text_bytes(marked)
-    n_buckets = B.bucket_count(total)
-    dealt = B.dealt(marked, total, ("train",))
-    replies = kept(dealt.groupBy("block").applyInArrow(_send_words(n_buckets), _SENT).groupBy("bucket").applyInArrow(_count_words, _REPLY), "word-counts")
-    sums = replies.filter("block IS NULL").select(F.explode(F.arrays_zip("symbol", "vocab", "total")).alias("x")).groupBy("x.symbol").agg(F.sum("x.vocab").alias("vocab"), F.sum("x.total").alias("total")).collect()
-    train = marked.filter("train")
-    ends = train.count()
+    blocks = B.in_blocks(docs.select("doc_id", "text", flag.alias("train")), ("train",))
+    exchange = B.Exchange.over(blocks, B.TOTAL)
+    told = kept(exchange.replies(blocks.table.mapInArrow(B.each_block(_send_words(exchange)), B.ROWS), _by_symbol), "word-counts")
+    sums = told.filter("block IS NULL").mapInArrow(_explode_symbols, "symbol int, vocab long, total long").groupBy("symbol").agg(F.sum("vocab").alias("vocab"), F.sum("total").alias("total")).collect()
+    sequences = kept(blocks.table.mapInArrow(B.each_block(_block_symbols), "symbols binary"), "symbols")
+    ends = sequences.count()
     share = np.zeros(SYMBOLS)
     for r in sums:
         share[r.symbol] = r.vocab + r.total
     words_seen, vocab = sum(r.total for r in sums), sum(r.vocab for r in sums)
     tokens, types = words_seen + ends, vocab + (ends > 0)
-    model = trained(train, states, seed)
-    scored = dealt.groupBy("block").cogroup(replies.filter("block IS NOT NULL").select("block", "bucket", "totals").groupBy("block")).applyInArrow(_scorer(model, np.log10(share + 1), ends, float(np.log10(tokens + types + 1))), _SCORES_SQL)
+    model = _converged(sequences, states, seed)
+    scored = blocks.with_replies(told.filter("block IS NOT NULL"), _scorer(model, np.log10(share + 1), ends, float(np.log10(tokens + types + 1))), _SCORES_SQL)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -2,20 +2,29 @@
 
 Method: relative Lempel-Ziv parsing.  The reference of a document is all documents
 with a smaller id; it is indexed by its windows of ``window`` words, each under the
-first document that holds it, in blocks of the key space.  Every document is factored
-greedily against every block: a factor starts at the first window that the index
-knows, and runs on while the following windows are known in the same reference
-document.  At a factor's end the windows that straddle the boundary are looked up as
-well, so that a passage known from two references is cut without a gap.
+document and word position where it first stands, in ranges of the key space.  Every
+document is factored greedily against the whole index: a factor begins at the first
+window that the index knows and no factor before it holds, takes of the references
+known there the one that goes on longest, and ends where that reference does.  That a
+reference goes on is seen from positions: its next window is the one at the next word,
+or one so near that the windows in hand leave no word between them (what lies there
+may be known from a still earlier document).  Windows that straddle a factor's end are
+looked up like all others, and where one is known the next factor begins with it; so
+factors are at least a window long, may overlap at their ends, and cover every word that
+a known window covers.  The words removed are those that factors cover.
 
 Most windows are of one document only and never reach the index.  They are kept out
 by their anchor: the smallest hash among a window's five-word grams.  Equal windows
 have equal anchors, so a window whose anchor stands once in the corpus is unique; and
 neighbouring windows mostly share an anchor, so anchors cost a fifth of the windows.
+
+Windows are compared by a 64-bit hash of their words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,108 +59,128 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").combine_chunks().cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _send_anchors(window: int, n_buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        found = []
-        for p in pieces(table):
+def _send_anchors(window: int, exchange: B.Exchange):
+    def send(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0, np.uint64)]
+        for p in pieces(docs):
             w = words(texts_of(p.column("text")))
             at, _, anchor = _windows(w, window)
             doc = w.doc_of_word()[at]
             fresh = np.ones(len(at), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             found.append(anchor[fresh])
-        return B.packed_counts(found, n_buckets, table.column("block")[0].as_py())
+        anchors = np.concatenate(found)
+        yield from exchange.sent(block, anchors, np.ones(len(anchors), np.uint32)).to_batches()
 
     return send
 
 
-WINDOWS = "bucket int, block int, keys binary, ids binary"
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
+"""Where a window stands: document and word position."""
+
+
+def _first_places(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the first place of each."""
+    order = np.lexsort((places["at"], places["doc"], keys))
+    keys = keys[order]
+    at = B.runs(keys)
+    return keys[at], places[order[at]]
+
+
+#: The first place of a window; a sender is told where an earlier document than its own holds it.
+FIRST = B.Meaning(PLACE, _first_places, lambda own, best: best["doc"] < own["doc"])
 
 
-def _first_holders(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the smallest document of each."""
-    order = np.argsort(key, kind="stable")
-    key, doc = key[order], doc[order]
-    at = B.runs(key)
-    return key[at], np.minimum.reduceat(doc, at) if len(at) else doc
+def _places(w: Words, at: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.empty(len(at), PLACE)
+    doc = w.doc_of_word()[at]
+    out["doc"], out["at"] = ids[doc], at - w.first[doc]
+    return out
 
 
-def _send_windows(window: int, n_buckets: int):
-    def send(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        known = B.Frequencies(replies, n_buckets)
-        keys, holders = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _send_windows(window: int, exchange: B.Exchange):
+    def send(block: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
+        known = B.Frequencies(replies)
+        keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, PLACE)]
         for p in pieces(docs):
             w = words(texts_of(p.column("text")))
             at, key, anchor = _windows(w, window)
             shared = known.of(anchor) >= 2
             keys.append(key[shared])
-            holders.append(_ids(p)[w.doc_of_word()[at[shared]]])
-        key, holder = _first_holders(np.concatenate(keys), np.concatenate(holders))
-        bounds, rows = B.cuts(key, n_buckets), []
-        for b in np.flatnonzero(np.diff(bounds)):
-            part = slice(bounds[b], bounds[b + 1])
-            rows.append({"bucket": int(b), "block": docs.column("block")[0].as_py(), "keys": key[part].tobytes(), "ids": holder[part].tobytes()})
-        return pa.Table.from_pylist(rows, schema=_WINDOWS)
+            places.append(_places(w, at[shared], _ids(p)))
+        return exchange.sent(block, np.concatenate(keys), np.concatenate(places))
 
     return send
 
 
-def _index_block(table: pa.Table) -> pa.Table:
-    """One reference block: tells each document block where another one holds a window earlier."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-    ids = [np.frombuffer(x.as_py(), np.int64) for x in table.column("ids")]
-    known, first = _first_holders(np.concatenate(keys), np.concatenate(ids))
-    out_keys, out_ids = [], []
-    for key, own in zip(keys, ids):
-        best = first[np.searchsorted(known, key)]
-        earlier = best < own
-        out_keys.append(key[earlier].tobytes())
-        out_ids.append(best[earlier].tobytes())
-    return pa.table([table.column("bucket"), table.column("block"), pa.array(out_keys, pa.binary()), pa.array(out_ids, pa.binary())], schema=_WINDOWS)
-
-
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("reference", pa.int64())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("reference", pa.int64()), ("reference_start", pa.int64())]))
 _CUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", _SPANS)])
-_CUT_SQL = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start: long, words: long, reference: long>>"
-
-
-def _factors(source: np.ndarray, at: np.ndarray, window: int) -> list[dict]:
-    """Greedy factors of one document: runs of adjacent known windows with one reference document."""
-    cut = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(source) != 0)) + 1, [len(at)]])
-    return [{"start": int(at[a]), "words": int(b - a) + window - 1, "reference": int(source[a])} for a, b in zip(cut[:-1], cut[1:])]
+_CUT_SQL = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start: long, words: long, reference: long, reference_start: long>>"
+
+
+def factors(at: np.ndarray, doc: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, reference, reference_start) of one document, from its known windows: where
+    each begins (rising), and the document and word where it stands first."""
+    cut = np.concatenate([[0], np.flatnonzero((np.diff(at) != 1) | (np.diff(doc) != 0) | (np.diff(ref) != 1)) + 1])
+    low, high = at[cut].tolist(), (at[np.append(cut[1:], len(at)) - 1] + window).tolist()
+    refs, shift = doc[cut].tolist(), (ref[cut] - at[cut]).tolist()
+    # stretches [low, high) of one reference and one shift are one where no word lies between them
+    stretches, last = [], {}
+    for a, b, d, s in zip(low, high, refs, shift):
+        held = last.get((d, s))
+        if held is not None and a <= held[1]:
+            held[1] = b
+        else:
+            last[d, s] = held = [a, b, d, s]
+            stretches.append(held)
+    # every run of known windows begins one stretch; those that hold a window are among those that began before it
+    out, done, begun, k, live = [], -1, 0, 0, []
+    while True:
+        # the first known window that no factor holds
+        k = int(np.searchsorted(at, done - window + 1)) if out else 0
+        if k >= len(at):
+            return out
+        x = int(at[k])
+        while begun < len(stretches) and stretches[begun][0] <= x:
+            live.append(stretches[begun])
+            begun += 1
+        live = [t for t in live if t[1] >= x + window]
+        a, b, d, s = max(live, key=lambda t: t[1])
+        out.append((x, b - x, d, x + s))
+        done = b
 
 
 def _parse(window: int, carry: tuple[str, ...]):
-    def parse(docs: pa.Table, replies: pa.Table) -> pa.Table:
+    def parse(block: int, docs: pa.Table, replies: pa.Table) -> pa.Table:
         batches = []
         for p in pieces(docs):
             w = words(texts_of(p.column("text")))
             at, key, _ = _windows(w, window)
-            batches.append((p, w, at, key, _ids(p)[w.doc_of_word()[at]]))
-        every = np.concatenate([b[3] for b in batches]) if batches else np.zeros(0, np.uint64)
-        owner = np.concatenate([b[4] for b in batches]) if batches else np.zeros(0, np.int64)
-        sent = [np.frombuffer(x.as_py(), np.uint64) for x in replies.column("keys")]
-        best = [np.frombuffer(x.as_py(), np.int64) for x in replies.column("ids")]
-        known, first = _first_holders(np.concatenate([every, *sent]), np.concatenate([owner, *best]))
+            batches.append((p, w, at, key, _places(w, at, _ids(p))))
+        told, best = B.replied(replies, PLACE)
+        known, first = _first_places(np.concatenate([told, *(b[3] for b in batches)]), np.concatenate([best, *(b[4] for b in batches)]))
         out = []
         for p, w, at, key, own in batches:
             source = first[np.searchsorted(known, key)] if len(key) else own
-            hit = np.flatnonzero(source < own)
+            hit = np.flatnonzero(source["doc"] < own["doc"])
             at, source = at[hit], source[hit]
-            step = np.zeros(len(w.start) + 1, np.int64)
-            np.add.at(step, at, 1)
-            np.add.at(step, at + window, -1)
-            gone = np.cumsum(step)[:-1] > 0
-            lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
             bounds = np.searchsorted(at, w.first)
+            spans: list[list[dict]] = [[] for _ in range(p.num_rows)]
+            gone = np.zeros(len(w.start) + 1, np.int64)
+            for d in np.flatnonzero(np.diff(bounds)):
+                part, base = slice(bounds[d], bounds[d + 1]), int(w.first[d])
+                for start, size, reference, place in factors(at[part] - base, source["doc"][part], source["at"][part].astype(np.int64), window):
+                    spans[d].append({"start": start, "words": size, "reference": reference, "reference_start": place})
+                    gone[base + start] += 1
+                    gone[base + start + size] -= 1
+            gone = np.cumsum(gone)[:-1] > 0
+            lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[w.first])
             text = p.column("text").combine_chunks()
             if lost.any():
                 text, raw = text.to_pylist(), w.data.tobytes()
                 for d in np.flatnonzero(lost):
                     text[d] = _without(raw, w, int(w.first[d]), int(w.first[d + 1]), gone)
                 text = pa.array(text, pa.string())
-            spans = [_factors(source[a:b], at[a:b] - w.first[d], window) if b > a else [] for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))]
             ids = p.column("doc_id").combine_chunks().cast(pa.int64())
             columns = [ids, text.cast(pa.string()), pa.array(w.counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, _SPANS), *(p.column(c) for c in carry)]
             out.append(pa.table(columns, names=[*_CUT.names, *carry]))
@@ -177,20 +206,18 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: tuple[str, ...] =
     ``docs``: (doc_id long, text string, ...); other columns are ignored.  Windows are judged
     on the texts as given, case and all, not on what is left of them.  Returns one row per
     input row: doc_id, text (what is left; untouched texts are returned as they are), n_words,
-    n_removed, spans (the factors: start word, words, reference doc_id), and the columns named in
-    ``carry``.
+    n_removed, spans (the factors in order: start word, words, reference doc_id and the word where
+    it begins there), and the columns named in ``carry``.
 
     Null and wordless texts have no words and keep their value; a text of which all words go
     becomes empty.  A null doc_id counts as greater than all others and is never a reference;
-    rows that repeat one doc_id don't cut each other.  Empty input, empty result.
+    rows that repeat one doc_id don't cut each other, and are one reference.  Empty input, empty result.
     """
-    total = B.text_bytes(docs)
-    n_buckets = B.bucket_count(total)
-    dealt = B.dealt(docs, total, carry)
-    anchors = dealt.groupBy("block").applyInArrow(_send_anchors(window, n_buckets), B.COUNTS).groupBy("bucket").applyInArrow(B.shared_counts, B.COUNTS)
-    by_block = dealt.groupBy("block")
-    index = by_block.cogroup(anchors.groupBy("block")).applyInArrow(_send_windows(window, n_buckets), WINDOWS).groupBy("bucket").applyInArrow(_index_block, WINDOWS)
-    return by_block.cogroup(index.groupBy("block")).applyInArrow(_parse(window, carry), StructType([*StructType.fromDDL(_CUT_SQL), *(docs.schema[c] for c in carry)]))
+    blocks = B.in_blocks(docs, carry)
+    of_anchors, of_windows = B.Exchange.over(blocks, B.FREQUENCY), B.Exchange.over(blocks, FIRST)
+    anchors = of_anchors.replies(blocks.table.mapInArrow(B.each_block(_send_anchors(window, of_anchors)), B.ROWS))
+    index = of_windows.replies(blocks.with_replies(anchors, _send_windows(window, of_windows), B.ROWS))
+    return blocks.with_replies(index, _parse(window, carry), StructType([*StructType.fromDDL(_CUT_SQL), *(docs.schema[c] for c in carry)]))
 
 
 def kept_digest(cut: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from oreflow.llm import hmm_lm, toxicity
+from oreflow.llm import blocks, hmm_lm, ngram_join, toxicity
 from oreflow.llm.components import components
 from oreflow.llm.ngram_join import ngram_components, one_of_each
 from oreflow.llm.substring_dedup import kept_digest, substring_dedup
@@ -265,3 +265,145 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b."), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(0 <= r.score < 0.5 for r in toxicity.toxicity(docs, toxicity.trained(docs, none)).collect())
+
+
+def test_blocks_pack_all_rows_in_bounded_blocks(spark):
+    rows = [(i % 3, "same text" if i < 400 else "x" * (i % 7 * 100), i) for i in range(900)] + [(1, None, 5)] * 50 + [(2, "long " * 2000, 6)]
+    made = blocks.in_blocks(spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(2), ("n",), most=3000, fan=3)
+    cells = made.table.collect()
+    tables = [pa.ipc.open_stream(bytes(r.docs)).read_all() for r in cells]
+    assert len({r.block for r in cells}) == len(cells) > 20 and made.fan**made.depth >= len(cells) and made.fan <= 3
+    back = [tuple(r.values()) for t in tables for r in t.to_pylist()]
+    assert Counter(back) == Counter(rows)
+    assert all(t.num_rows == 1 or sum(len(x or "") + blocks.ROW_BYTES for x in t.column("text").to_pylist()) <= 3000 for t in tables)
+
+
+@pytest.mark.parametrize("fan", [2, 3, 64])
+def test_exchange_over_several_rounds(spark, fan):
+    """Sums and what each block is told, however many rounds it takes; no unit has many senders."""
+    rows = [(i, " ".join(f"w{random.Random(i * 31 + j).randrange(60)}" for j in range(20)) + " hot", "") for i in range(120)]
+    made = blocks.in_blocks(spark.createDataFrame(rows, "doc_id long, text string, n string"), most=400, fan=fan)
+    exchange = blocks.Exchange.over(made, blocks.FREQUENCY)
+    assert fan == 64 or made.depth > 2
+
+    def send(block, docs):
+        h = words(texts_of(docs.column("text"))).hashes()
+        yield from exchange.sent(block, h, np.ones(len(h), np.uint32)).to_batches()
+
+    sent = made.table.mapInArrow(blocks.each_block(send), blocks.ROWS)
+    got = defaultdict(dict)
+    for r in exchange.replies(sent).collect():
+        got[r.block].update(zip(np.frombuffer(bytes(r.keys), np.uint64).tolist(), np.frombuffer(bytes(r.vals), np.uint32).tolist()))
+    want, total = {}, Counter()
+    for r in made.table.collect():
+        want[r.block] = words(texts_of(pa.ipc.open_stream(bytes(r.docs)).read_all().column("text"))).hashes().tolist()
+        total.update(want[r.block])
+    assert dict(got) == {b: {k: total[k] for k in set(ks) if total[k] > 1} for b, ks in want.items()}
+    senders = sent.groupBy("unit").agg(F.countDistinct("child").alias("n")).agg(F.max("n")).first()[0]
+    assert senders <= 6 * made.fan
+
+
+def test_ngram_components_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "FAN", 3)
+    rows = corpus(4)
+    got = ngram_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_suffix_parities_equal_direct_ones():
+    rng = np.random.default_rng(0)
+    sets = [np.sort(rng.integers(-(2**63), 2**63 - 1, size=n)) for n in (0, 1, 40, 300, 7, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([len(s) + 2 for s in sets], pa.int64()), pa.array([2] * 6, pa.int64()), pa.array([s.tolist() for s in sets], pa.list_(pa.int64()))], ["rep", "n", "n_own", "tokens"])
+    for most in (50, 1 << 17):
+        got = [r for b in ngram_join.prefix_posts(75, most)(iter([batch])) for r in b.to_pylist()]
+        want = []
+        for d, s in enumerate(sets):
+            n = len(s) + 2
+            for j in range(max(0, min(len(s), n - -(-75 * n // 100) + 1 - 2))):
+                bits = Counter((int(t) % 2**64 >> 7) % 512 for t in s[j + 1 :])
+                vector = [sum((bits[64 * w + b] & 1) << b for b in range(64)) for w in range(8)]
+                want.append((int(s[j]), d, n, 2 + j, j, [v - (1 << 64) * (v >> 63) for v in vector]))
+        assert [tuple(r.values()) for r in got] == want
+
+
+def test_no_pair_is_verified_twice(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, sets, percent, f=ngram_join._verified: (seen.extend((r.a, r.b) for r in pairs.collect()), f(pairs, sets, percent))[1])
+    rows = corpus(0)
+    got = ngram_components(spark.createDataFrame(rows, DOCS)).collect()
+    assert seen and len(seen) == len(set(seen))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
+def test_different_texts_under_one_id_are_one_node(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(7, a, "", 0), (7, b, "", 0), (3, a, "", 0), (5, b, "", 0), (9, "other words", "", 0)]
+    got = {r.doc_id: r.component_id for r in ngram_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {7: 3, 3: 3, 5: 3, 9: 9}
+
+
+def brute_factors(texts, doc, window):
+    """Left to right over words: at the first known window that no factor holds, of all ways on from it or from
+    known windows around it the longest, each step checked against the reference's words."""
+    first = {}
+    for i in sorted(texts):
+        for j in range(len(texts[i]) - window + 1):
+            first.setdefault(tuple(texts[i][j : j + window]), (i, j))
+    mine = texts[doc]
+    known = {j: first[tuple(mine[j : j + window])] for j in range(len(mine) - window + 1) if first[tuple(mine[j : j + window])][0] < doc}
+    out, done = [], 0
+    for x in sorted(known):
+        if out and x + window <= done:
+            continue
+        best = None
+        for y, (d, r) in known.items():
+            low = high = y  # windows of this reference and shift, without a word between
+            steps = {j for j, (e, q) in known.items() if e == d and q - j == r - y}
+            while any(0 < j - high <= window for j in steps):
+                high = max(j for j in steps if 0 < j - high <= window)
+            while any(0 < low - j <= window for j in steps):
+                low = min(j for j in steps if 0 < low - j <= window)
+            if low <= x <= high and (best is None or high + window > best[0]):
+                best = high + window, d, r - y
+        out.append((x, best[0] - x, best[1], x + best[2]))
+        done = best[0]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_factors_equal_a_word_by_word_parser(spark, seed):
+    rng = random.Random(seed)
+    texts = {}
+    for i in range(30):
+        w = []
+        while len(w) < 60:
+            if texts and rng.random() < 0.6:
+                other = texts[rng.choice(list(texts))]
+                a = rng.randrange(len(other))
+                w += other[a : a + rng.choice([3, 5, 9, 30])]
+            else:
+                w += [f"w{rng.randrange(12)}" for _ in range(rng.randint(1, 4))]
+        texts[i] = w
+    rows = [(i, " ".join(w), "", 0) for i, w in texts.items()]
+    for r in substring_dedup(spark.createDataFrame(rows, DOCS), window=4).collect():
+        got = [(s.start, s.words, s.reference, s.reference_start) for s in r.spans]
+        assert [(a, n) for a, n, *_ in got] == [(a, n) for a, n, *_ in brute_factors(texts, r.doc_id, 4)]
+        for start, n, reference, place in got:
+            assert reference < r.doc_id and texts[r.doc_id][start : start + n] == texts[reference][place : place + n]
+
+
+def test_a_document_equal_to_an_earlier_one_is_one_factor(spark):
+    second = [f"s{i}" for i in range(40)]
+    first = ["x"] * 3 + second[10:25] + ["y"]
+    rows = [(1, " ".join(first), "", 0), (2, " ".join(second), "", 0), (3, " ".join(second), "", 0), (4, " ".join(second[20:] + second), "", 0)]
+    got = {r.doc_id: [(s.start, s.words, s.reference, s.reference_start) for s in r.spans] for r in substring_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: [], 2: [(10, 15, 1, 3)], 3: [(0, 40, 2, 0)], 4: [(0, 20, 2, 20), (20, 40, 2, 0)]}
+
+
+def test_substring_dedup_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(blocks, "FAN", 3)
+    rows = corpus(5)
+    cut = substring_dedup(spark.createDataFrame(rows, DOCS), carry=("tokens",))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in kept_digest(cut).collect()} == brute_cut(rows)
