@@ -293,7 +293,8 @@ def test_exchange_over_several_rounds(spark, fan):
     sent = made.table.mapInArrow(blocks.each_block(send), blocks.ROWS)
     got = defaultdict(dict)
     for r in exchange.replies(sent).collect():
-        got[r.block].update(zip(np.frombuffer(bytes(r.keys), np.uint64).tolist(), np.frombuffer(bytes(r.vals), np.uint32).tolist()))
+        keys, totals = blocks.replied(pa.table({"keys": [bytes(r.keys)], "vals": [bytes(r.vals)]}), blocks.FREQUENCY.value)
+        got[r.block].update(zip(keys.tolist(), totals.tolist()))
     want, total = {}, Counter()
     for r in made.table.collect():
         want[r.block] = words(texts_of(pa.ipc.open_stream(bytes(r.docs)).read_all().column("text"))).hashes().tolist()
