@@ -68,17 +68,17 @@ def farthest_first(points: DataFrame, k: int, first: int | None = None) -> DataF
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(chosen)], "cluster int, vec array<double>")
 
 
-def kmeans(points: DataFrame, k: int, tol: float = 30.0, most_rounds: int = 20) -> DataFrame:
-    """(id, cluster): farthest-first start, then Lloyd steps until the centres move by ``tol`` in sum, or ``most_rounds``."""
+def kmeans(points: DataFrame, k: int, tol: float = 30.0) -> DataFrame:
+    """(id, cluster): farthest-first start, then Lloyd steps until the centres move by ``tol`` in sum or less."""
     spark = points.sparkSession
     centres = farthest_first(points, k)
     held = {r.cluster: np.array(r.vec) for r in centres.collect()}
-    for _ in range(most_rounds if held else 0):
+    while held:
         new = {r.cluster: np.array(r.vec) for r in means(points, nearest(points, centres)).collect()}
         moved = sum(float(np.linalg.norm(new[c] - held[c])) for c in new)
         held |= new
         centres = spark.createDataFrame([(c, v.tolist()) for c, v in sorted(held.items())], "cluster int, vec array<double>")
-        if moved <= tol:
+        if not moved > tol:
             break
     return nearest(points, centres).select("id", "cluster") if held else points.select("id", F.lit(0).alias("cluster")).limit(0)
 
@@ -132,8 +132,9 @@ def bfr(points: DataFrame, chunk: str, k: int, alpha: float = 2.0, fanout: int =
     (retained); k-means over the others gives the k discard clusters.  Each further chunk joins the
     nearest discard cluster within ``alpha * sqrt(d)``, else the nearest compression cluster, else the
     retained set; all of a chunk is judged on the statistics as they stood before it.  Then the retained
-    set is clustered anew, and compression clusters within the threshold of each other merge.  At the
-    end compression clusters join their nearest discard cluster; retained points are cluster -1.
+    set is clustered anew, and compression clusters within the threshold of each other merge.  After the
+    last chunk compression clusters join their nearest discard cluster, before that round's counts are
+    taken; retained points are cluster -1.
     """
     spark = points.sparkSession
     chunks = [r[0] for r in points.select(chunk).distinct().orderBy(chunk).collect()]
@@ -163,7 +164,8 @@ def bfr(points: DataFrame, chunk: str, k: int, alpha: float = 2.0, fanout: int =
         rounds.append((i, len(ds), sum(s.n for s in ds.values()), len(cs), sum(s.n for s in cs.values()), retained.count()))
 
     compress()
-    count(0)
+    if len(chunks) > 1:
+        count(0)
     for i, name in enumerate(chunks[1:], 1):
         got = kept(_within(data(name), ds, limit, spark), "near-discard")
         near = got.filter("cluster IS NOT NULL")
@@ -183,13 +185,21 @@ def bfr(points: DataFrame, chunk: str, k: int, alpha: float = 2.0, fanout: int =
                     cs[a] = cs[a].plus(cs.pop(b))
                     origin[b] = a
         placed = kept(placed, "placed")
-        count(i)
+        if i < len(chunks) - 1:
+            count(i)
+    # the last round's row is taken after its compression clusters have joined their discard clusters
+    joins = {}
+    for c in sorted(cs):
+        joins[c] = min(sorted(ds), key=lambda d: round(ds[d].distance(cs[c].mean), 9))
+        ds[joins[c]] = ds[joins[c]].plus(cs[c])
+    cs.clear()
+    count(len(chunks) - 1)
 
     def final(c):
         while c in origin:
             c = origin[c]
-        return min(sorted(ds), key=lambda d: round(ds[d].distance(cs[c].mean), 9))
+        return joins[c]
 
-    target = spark.createDataFrame([(c, final(c)) for c in sorted({*cs, *origin})], "c int, t int")
+    target = spark.createDataFrame([(c, final(c)) for c in sorted({*joins, *origin})], "c int, t int")
     membership = placed.join(F.broadcast(target), "c", "left").select("id", F.coalesce("d", "t").alias("cluster")).unionByName(retained.select("id", F.lit(-1).alias("cluster")))
     return spark.createDataFrame(rounds, round_schema), membership

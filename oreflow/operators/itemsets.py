@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreflow.functions.hashing import bucket_of_pair
@@ -16,28 +18,69 @@ def baskets(df: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame
     return sets.filter(F.size("items") > more_than)
 
 
-def apriori(basket_rows: DataFrame, support: int, most: int | None = None) -> DataFrame:
-    """Itemsets, of up to ``most`` items if given, in at least ``support`` baskets: itemset (sorted array), size, freq.
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("part", "itemset").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def _candidates(last: DataFrame, size: int) -> DataFrame:
+    """(part, itemset) of ``size`` + 1 items: two frequent itemsets that differ in their last item, joined, where
+    all other itemsets of one item less are frequent too."""
+    side = lambda name: last.select("part", F.slice("itemset", 1, size - 1).alias("prefix"), F.col("itemset").alias(name))
+    grown = side("a").join(side("b"), ["part", "prefix"]).filter(F.element_at("a", -1) < F.element_at("b", -1)).select("part", F.concat("a", F.slice("b", size, 1)).alias("itemset"))
+    for i in range(size - 1):
+        less = last.select(F.col("part").alias("p"), F.col("itemset").alias("less"))
+        without = F.concat(F.slice("itemset", 1, i), F.slice("itemset", i + 2, size))
+        grown = grown.join(less, (F.col("part") == F.col("p")) & (without == F.col("less")), "left_semi")
+    return grown
+
+
+def _supports(candidates: DataFrame, rows: DataFrame, singles: DataFrame) -> DataFrame:
+    """(part, itemset, freq) of candidates that some basket holds: baskets meet a candidate at its rarest item.
 
-    Level-wise: a level's occurrences (basket, itemset) are the last level's, extended by a greater
-    frequent item of the same basket.  Only frequent itemsets are extended, and each level is a
-    table in the shared folder, so the lineage stays short.
+    ``rows``: (part, basket, items); ``singles``: (part, item, freq).
     """
-    long = basket_rows.select("basket", F.explode("items").alias("item"))
-    frequent = lambda occ: occ.groupBy("itemset").agg(F.count(F.lit(1)).alias("freq")).filter(F.col("freq") >= support)
-    one = frequent(long.select("basket", F.array("item").alias("itemset")))
-    live = kept(long.join(one.select(F.col("itemset")[0].alias("item")), "item", "left_semi"), "items")
-    found = kept(one, "level")
-    result, level, size = found, live.select("basket", F.array("item").alias("itemset")), 1
+    each = candidates.select("part", "itemset", F.explode("itemset").alias("item")).join(singles, ["part", "item"])
+    rarest = each.groupBy("part", "itemset").agg(F.min(F.struct("freq", "item")).alias("m")).select("part", "itemset", F.col("m.item").alias("item"))
+    held = rows.select("part", "items", F.explode("items").alias("item")).join(rarest, ["part", "item"])
+    return _counted(held.filter(F.size(F.array_except("itemset", "items")) == 0))
+
+
+def _levels(rows: DataFrame, frequent: Callable[[DataFrame], DataFrame], most: int | None, hot: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(part, itemset, freq) of the frequent itemsets of each part of the baskets, size by size.
+
+    ``rows``: (part, basket, items); ``frequent`` keeps rows of (part, itemset, freq), ``hot`` occurrences of
+    pairs that may be frequent.  Pairs are counted as they occur; larger itemsets as candidates.
+    """
+    long = rows.select("part", "basket", F.explode("items").alias("item"))
+    last = kept(frequent(_counted(long.select("part", F.array("item").alias("itemset")))), "level")
+    singles, result, size = last.select("part", F.col("itemset")[0].alias("item"), "freq"), last, 1
+    live = kept(long.join(singles.select("part", "item"), ["part", "item"], "left_semi"), "items")
+    whole = live.groupBy("part", "basket").agg(F.collect_list("item").alias("items"))
     while most is None or size < most:
-        grown = level.join(live, "basket").filter(F.col("item") > F.element_at("itemset", -1)).select("basket", F.concat("itemset", F.array("item")).alias("itemset"))
-        grown = kept(grown, "grown")
-        found = kept(frequent(grown), "level")
-        if found.isEmpty():
+        if size == 1:
+            pairs = live.alias("a").join(live.alias("b"), ["part", "basket"]).filter("a.item < b.item").select("part", F.array("a.item", "b.item").alias("itemset"))
+            counted = _counted(hot(pairs))
+        else:
+            candidates = kept(_candidates(last, size), "candidates")
+            if candidates.isEmpty():
+                break
+            whole = kept(whole, "baskets") if size == 2 else whole
+            counted = _supports(candidates, whole, singles)
+        last = kept(frequent(counted), "level")
+        if last.isEmpty():
             break
-        result, size = result.unionByName(found), size + 1
-        level = grown.join(found.select("itemset"), "itemset", "left_semi")
-    return result.select("itemset", F.size("itemset").alias("size"), "freq")
+        result, size = result.unionByName(last), size + 1
+    return result
+
+
+def apriori(basket_rows: DataFrame, support: int, most: int | None = None) -> DataFrame:
+    """Itemsets, of up to ``most`` items if given, in at least ``support`` baskets: itemset (sorted array), size, freq.
+
+    Level by level, until a level has no frequent itemset; each level is a table in the shared folder.
+    """
+    rows = basket_rows.select(F.lit(0).alias("part"), "basket", "items")
+    found = _levels(rows, lambda counts: counts.filter(F.col("freq") >= support), most)
+    return found.select("itemset", F.size("itemset").alias("size"), "freq")
 
 
 def fp_growth(basket_rows: DataFrame, support: int) -> DataFrame:
@@ -52,25 +95,37 @@ def fp_growth(basket_rows: DataFrame, support: int) -> DataFrame:
     return out.select("itemset", F.size("itemset").alias("size"), "freq")
 
 
-def son_candidates(basket_rows: DataFrame, support: int, parts: int = 4, buckets: int = 300) -> DataFrame:
-    """Phase one of the partitioned scheme: pairs that are frequent, in proportion, in some part of the baskets.
+def son_candidates(basket_rows: DataFrame, support: int, parts: int = 4, buckets: int = 300, part: Column | None = None, most: int | None = None) -> DataFrame:
+    """Phase one of the partitioned scheme: (itemset, n_parts) of the itemsets that are frequent, in proportion,
+    in some part of the baskets.
 
-    Pairs are first counted by hash bucket in each part, and only those in frequent buckets are
-    candidates.  Returns itemset, n_parts.
+    ``part`` deals the baskets, by a hash if it isn't given.  Pairs are first counted by hash bucket in each
+    part, and only those in frequent buckets one by one.
     """
-    part = F.pmod(F.xxhash64("basket"), F.lit(parts))
-    rows = basket_rows.withColumn("part", part)
-    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    total = F.lit(max(basket_rows.count(), 1))
-    long = rows.select("part", "basket", F.explode("items").alias("item"))
-    enough = F.col("c") * total >= F.lit(support) * F.col("n")
-    single = long.groupBy("part", "item").agg(F.count(F.lit(1)).alias("c")).join(sizes, "part").filter(enough).select("part", "item")
-    live = long.join(single, ["part", "item"], "left_semi")
-    pairs = live.alias("a").join(live.alias("b"), ["part", "basket"]).filter("a.item < b.item").select("part", F.col("a.item").alias("x"), F.col("b.item").alias("y")).groupBy("part", "x", "y").agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.withColumn("bucket", bucket_of_pair(F.col("x"), F.col("y"), buckets))
-    hot = pairs.groupBy("part", "bucket").agg(F.sum("c").alias("c")).join(sizes, "part").filter(enough).select("part", "bucket")
-    local = pairs.join(hot, ["part", "bucket"], "left_semi").join(sizes, "part").filter(enough)
-    return local.groupBy(F.array("x", "y").alias("itemset")).agg(F.count(F.lit(1)).alias("n_parts"))
+    rows = basket_rows.select((F.pmod(F.xxhash64("basket"), F.lit(parts)) if part is None else part).alias("part"), "basket", "items")
+    sizes = kept(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 1
+    enough = lambda counts: counts.join(F.broadcast(sizes), "part").filter(F.col("freq") * F.lit(total) >= F.lit(support) * F.col("n")).drop("n")
+
+    def hot(pairs: DataFrame) -> DataFrame:
+        placed = pairs.withColumn("bucket", bucket_of_pair(F.col("itemset")[0].cast("string"), F.col("itemset")[1].cast("string"), buckets))
+        counts = enough(placed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("freq")))
+        return placed.join(F.broadcast(counts.select("part", "bucket")), ["part", "bucket"], "left_semi").select("part", "itemset")
+
+    return _levels(rows, enough, most, hot).groupBy("itemset").agg(F.count(F.lit(1)).alias("n_parts"))
+
+
+def son(basket_rows: DataFrame, support: int, parts: int = 4, buckets: int = 300, most: int | None = None) -> DataFrame:
+    """Both phases of the partitioned scheme: itemset, size, freq, as :func:`apriori` gives them.
+
+    What is frequent is so in some part, so the exact counts of phase one's candidates are enough.
+    """
+    rows = basket_rows.select(F.lit(0).alias("part"), "basket", "items")
+    candidates = kept(son_candidates(basket_rows, support, parts, buckets, most=most), "candidates").select(F.lit(0).alias("part"), "itemset")
+    long = rows.select("part", F.explode("items").alias("item"))
+    singles = kept(long.groupBy("part", "item").agg(F.count(F.lit(1)).alias("freq")), "singles")
+    found = _supports(candidates, rows, singles).filter(F.col("freq") >= support)
+    return found.select("itemset", F.size("itemset").alias("size"), "freq")
 
 
 def compare_itemsets(a: DataFrame, b: DataFrame, labels: tuple[str, str] = ("Task2", "Task3")) -> DataFrame:

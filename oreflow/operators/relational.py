@@ -34,15 +34,16 @@ def top_counts(df: DataFrame, column: str, m: int) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(m)
 
 
-def tokens(docs: DataFrame, stopwords: DataFrame, text: str = "text") -> DataFrame:
-    """Lower-cased, stripped tokens of a split at single spaces, less stopwords (column word) and lone punctuation."""
-    word = docs.select(*(c for c in docs.columns if c not in (text, "word")), F.explode(F.split(text, " ")).alias("_raw"))
-    word = word.withColumn("word", stripped(F.lower("_raw"))).drop("_raw").filter(~F.col("word").isin(PUNCTUATION))
-    return word.join(stopwords.select("word"), "word", "left_anti")
+def word_counts(docs: DataFrame, stopwords: DataFrame, keys: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """(keys, word, n): lower-cased, stripped tokens of a split at single spaces, less stopwords (column word) and
+    lone punctuation, which are left out after counting, as each word is then looked at once."""
+    word = docs.select(*keys, F.explode(F.split(text, " ")).alias("_raw")).select(*keys, stripped(F.lower("_raw")).alias("word"))
+    counts = word.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(~F.col("word").isin(PUNCTUATION)).join(stopwords.select("word"), "word", "left_anti")
 
 
 def top_words(docs: DataFrame, stopwords: DataFrame, n: int, text: str = "text") -> DataFrame:
-    return top_counts(tokens(docs.select(text), stopwords, text), "word", n)
+    return word_counts(docs, stopwords, (), text).select("word", "n").orderBy(F.desc("n"), F.asc("word")).limit(n)
 
 
 def category_avg_stars(reviews: DataFrame, businesses: DataFrame, n: int) -> DataFrame:

@@ -26,13 +26,16 @@ def bloom_bits(build: DataFrame, value: str, bits: int = 10_000, hashes: int = 3
 def bloom_probe(build: DataFrame, probe: DataFrame, value: str, bits: int = 10_000, hashes: int = 3, seed: int = 3) -> DataFrame:
     """Adds flag to ``probe``: 1 if all the value's bits are set, 0 otherwise and for null or blank values.
 
-    The filter is one array of at most ``bits`` integers, so it is broadcast as a single row, and
-    each probe row costs no shuffle.
+    The filter is one row: a bitmap of ``bits`` bits in 64-bit words, which is broadcast, so probing costs
+    no shuffle, and a bit is looked up by its position.
     """
-    filled = bloom_bits(build, value, bits, hashes, seed).agg(F.collect_set("bit").alias("_set"))
-    distinct = probe.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & (stripped(F.col("_v")) != "")).distinct()
-    hit = distinct.crossJoin(F.broadcast(filled)).select("_v", F.forall(_bits(bytes_mod(F.col("_v"), bits), bloom_params(bits, hashes, seed), bits), lambda b: F.array_contains("_set", b)).cast("int").alias("_hit"))
-    return probe.join(hit, F.col(value) == F.col("_v"), "left").withColumn("flag", F.coalesce("_hit", F.lit(0))).drop("_v", "_hit")
+    word = bloom_bits(build, value, bits, hashes, seed).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("bit", F.lit(64)).cast("int"))).alias("x"))
+    held = word.agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("m"))
+    bitmap = held.select(F.transform(F.sequence(F.lit(0), F.lit(-(-bits // 64) - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("bigint"))).alias("_map"))
+    is_set = lambda b: F.getbit(F.get("_map", F.floor(b / 64).cast("int")), F.pmod(b, F.lit(64)).cast("int")) == 1
+    filled = F.col(value).isNotNull() & (stripped(F.col(value)) != "")
+    hit = F.forall(_bits(bytes_mod(F.col(value), bits), bloom_params(bits, hashes, seed), bits), is_set)
+    return probe.crossJoin(F.broadcast(bitmap)).withColumn("flag", F.coalesce(F.when(filled, hit), F.lit(False)).cast("int")).drop("_map")
 
 
 def fm_params(hashes: int = 49, modulus: int | None = None, seed: int = 5) -> tuple[list[tuple[int, int]], int]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from oreflow.operators.relational import tokens
+from oreflow.operators.relational import word_counts
 
 #: Signs, digits with single underscores, fraction and exponent; nan and infinities; one numeric character.
 NUMBER = r"^(?:[+-]?(?:(?:\d+(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?|[+-]?(?:nan|inf|infinity)|\p{N})$"
@@ -25,8 +25,8 @@ def tfidf_profiles(docs: DataFrame, stopwords: DataFrame, id_col: str = "busines
     numbers are no words.  Ties are ordered by word.
     """
     n_docs = docs.agg(F.count_distinct(id_col).alias("n_docs"))
-    tok = tokens(docs.select(F.col(id_col).alias("id"), "text"), stopwords).filter(~is_number(F.col("word")))
-    tf = tok.groupBy("id", "word").agg(F.count(F.lit(1)).alias("c"))
+    counts = word_counts(docs.select(F.col(id_col).alias("id"), "text"), stopwords, ("id",))
+    tf = counts.filter(~is_number(F.col("word"))).select("id", "word", F.col("n").alias("c"))
     total = tf.agg(F.sum("c").alias("total"))
     df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("c").alias("cf")).crossJoin(F.broadcast(total)).filter(F.col("cf") >= rare * F.col("total"))
     scored = tf.join(df.select("word", "df"), "word").withColumn("most", F.max("c").over(W.partitionBy("id"))).crossJoin(F.broadcast(n_docs))

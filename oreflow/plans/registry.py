@@ -93,9 +93,10 @@ def business_count_having(spark, d):
     return relational.businesses_over(reviews(spark, d), 40)
 
 
-@query()
+@query(_with("reviews") + "SELECT count(*) AS n_rows, 20 AS n_partitions FROM reviews")
 def partition_layout(spark, d):
-    return relational.partition_layout(reviews(spark, d), "business_id", 20)
+    """The sizes of the partitions, added up, as which row lies where is the engine's own hash."""
+    return relational.partition_layout(reviews(spark, d), "business_id", 20).agg(F.sum("n_items").alias("n_rows"), F.count_distinct("partition_id").cast("int").alias("n_partitions"))
 
 
 @query(_with("supplier_reviews") + f"SELECT user_id, business_id FROM supplier_reviews JOIN supplier ON business_id = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_name = '{STATE}'")
@@ -160,16 +161,27 @@ def itemset_report(spark, d):
     return itemsets.itemset_report(itemsets.apriori(*_baskets(spark, d)))
 
 
-@query()
+def _son_sql(parts: int) -> str:
+    sql = _with("brand_baskets") + f", b AS (SELECT DISTINCT basket, item, basket % {parts} AS part FROM brand_baskets), s AS (SELECT (count(DISTINCT basket) * {SUPPORT_PER_MILLE[0]} + {SUPPORT_PER_MILLE[1] * 1000 - 1}) // {SUPPORT_PER_MILLE[1] * 1000} AS least, count(DISTINCT basket) AS total FROM b), z AS (SELECT part, count(DISTINCT basket) AS n FROM b GROUP BY part), found AS ("
+    each = []
+    for k in range(1, 6):
+        joins = " ".join(f"JOIN b b{i} ON b{i}.basket = b0.basket AND b{i}.item > b{i - 1}.item" for i in range(1, k))
+        items = ", ".join(f"b{i}.item" for i in range(k))
+        each.append(f"SELECT concat_ws(',', {items}) AS itemset, b0.part, count(*) AS freq FROM b b0 {joins} GROUP BY {items}, b0.part")
+    return sql + " UNION ALL ".join(each) + ") SELECT itemset, count(*) AS n_parts FROM found JOIN z USING (part), s WHERE freq * total >= least * n GROUP BY itemset"
+
+
+@query(_son_sql(4))
 def son_candidates(spark, d):
-    return itemsets.son_candidates(*_baskets(spark, d)).select(F.array_join("itemset", ",").alias("itemset"), "n_parts")
+    return itemsets.son_candidates(*_baskets(spark, d), part=F.pmod("basket", F.lit(4)).cast("int")).select(F.array_join("itemset", ",").alias("itemset"), "n_parts")
 
 
-# Similarity
+@query(ORACLE["frequent_itemsets_apriori"])
+def son_itemsets(spark, d):
+    return _joined(itemsets.son(*_baskets(spark, d)))
 
 
-def _members_sql(view: str, id_col: str, item: str) -> str:
-    return f"{VIEWS[view]}"
+# Similarity
 
 
 def _jaccard_sql(view: str, id_col: str, item: str) -> str:
@@ -512,6 +524,14 @@ def stream_sliding_fm(spark, d):
     return windows.run_to_end(windows.fm_stream(events, "ts", "v", LENGTH, SLIDE), _stream_name("fm"))
 
 
+@query(ORACLE["reservoir_sample"])
+def stream_counted_reservoir(spark, d):
+    path, checkpoint = new_path(spark, "reservoir"), new_path(spark, "stream")
+    stream = windows.counted_reservoir(_event_stream(spark, d).select("event_id", "event_type"), "event_id", path, checkpoint)
+    stream.awaitTermination()
+    return windows.reservoir_state(spark, path, stream.lastProgress["batchId"]).select("slot", "event_id", "event_type", "n")
+
+
 @query(_RESERVOIR.replace("row_number() OVER (ORDER BY event_id) AS n FROM events", "event_id + 1 AS n FROM events") + "SELECT CAST(slot AS BIGINT) AS slot, event_id, event_type, n FROM res")
 def stream_reservoir(spark, d):
     events = _event_stream(spark, d).select("event_id", "event_type", (F.col("event_id") + 1).alias("n"))

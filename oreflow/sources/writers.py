@@ -51,24 +51,51 @@ def flags_line(flags: DataFrame, order: str, path: str) -> None:
 
 
 def membership_object(membership: DataFrame, path: str) -> None:
-    """``(id, cluster)`` as JSON lines in order of id."""
-    membership.orderBy("id").select(F.to_json(F.create_map(F.col("id").cast("string"), F.col("cluster"))).alias("value")).write.mode("overwrite").text(path)
+    """``(id, cluster)``, ids distinct, as one JSON object in order of id: a member a line, so that the folder's files,
+    one after the other, are the object, and no task holds it whole."""
+    ends = membership.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    line = F.concat(F.when(F.col("id") == F.col("low"), "{").otherwise(""), F.format_string('"%s": %s', F.col("id").cast("string"), F.col("cluster").cast("string")), F.when(F.col("id") == F.col("high"), "}").otherwise(","))
+    membership.select("id", "cluster").crossJoin(F.broadcast(ends)).orderBy("id").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def append_batches(df: DataFrame, path: str, checkpoint: str):
-    """A streaming query that appends every micro-batch's rows as CSV."""
-    return df.writeStream.outputMode("append").format("csv").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def itemset_report_lines(sections: dict[str, DataFrame], path: str) -> None:
+    """For each title and its itemsets: the title, and a line for all itemsets of a size, each followed by an empty line."""
+    from oreflow.operators.itemsets import itemset_report
 
+    every = None
+    for i, (title, sets) in enumerate(sections.items()):
+        head = sets.sparkSession.createDataFrame([(0, title)], "size int, line string")
+        part = head.unionByName(itemset_report(sets)).withColumn("section", F.lit(i))
+        every = part if every is None else every.unionByName(part)
+    ordered = every.agg(F.array_sort(F.collect_list(F.struct("section", "size", "line"))).alias("x"))
+    ordered.select(F.explode(F.flatten(F.transform("x", lambda x: F.array(x["line"], F.lit(""))))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
-def append_level_blocks(tags: DataFrame, path: str, checkpoint: str, n: int = 3):
-    """A streaming query over tags (column tag): after each micro-batch it appends a block of lines
-    ``tag:count`` for the n highest frequencies so far, most frequent first, and an empty line."""
+
+def append_rounds(rounds: DataFrame, path: str) -> None:
+    """The rows of clustering rounds in order, appended as CSV without a header."""
+    rounds.orderBy("round_id").coalesce(1).write.mode("append").csv(path)
+
+
+def triggered(every: str | None) -> dict:
+    """A trigger that comes round in time, or one that takes what is there now and ends."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def append_batches(df: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """A streaming query that appends every micro-batch's rows as CSV, ``every`` so often (such as ``5 seconds``) or until all is read."""
+    return df.writeStream.outputMode("append").format("csv").option("path", path).option("checkpointLocation", checkpoint).trigger(**triggered(every)).start()
+
+
+def append_level_blocks(tags: DataFrame, path: str, checkpoint: str, n: int = 3, every: str | None = None):
+    """A streaming query over tags (column tag): after each micro-batch it appends a block: how many tags
+    there were so far, lines ``tag:count`` for the n highest frequencies, most frequent first, and an empty line."""
     from oreflow.operators.sampling import top_levels
 
     def block(batch: DataFrame, epoch: int) -> None:
         rows = batch.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "n")), "tag")
         lines = top_levels(rows, n).orderBy(F.desc("n"), "tag").agg(F.collect_list(F.concat_ws(":", "tag", F.col("n").cast("string"))).alias("x"))
-        lines.select(F.explode(F.concat("x", F.array(F.lit("")))).alias("value")).coalesce(1).write.mode("append").text(path)
+        lines = lines.crossJoin(batch.agg(F.concat(F.lit("The number of tags from the beginning:"), F.coalesce(F.sum("n"), F.lit(0)).cast("string")).alias("head")))
+        lines.select(F.explode(F.concat(F.array("head"), "x", F.array(F.lit("")))).alias("value")).coalesce(1).write.mode("append").text(path)
 
     counts = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    return counts.writeStream.outputMode("complete").foreachBatch(block).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return counts.writeStream.outputMode("complete").foreachBatch(block).option("checkpointLocation", checkpoint).trigger(**triggered(every)).start()

@@ -1,6 +1,7 @@
 """The library's own operators against hand-computed fixtures and brute force."""
 
 import itertools
+import json
 import math
 import random
 from collections import Counter, defaultdict
@@ -50,8 +51,8 @@ def test_itemsets(spark, support, extra):
     assert {r.label: r.n for r in itemsets.compare_itemsets(a, f).collect()} == {"Task2": len(want), "Task3": len(want), "Intersection": len(want)}
     report = {r.size: r.line for r in itemsets.itemset_report(a).collect()}
     assert report[1] == "('a'),('b'),('c')" and report[2] == "('a', 'b'),('a', 'c'),('b', 'c')"
-    pairs = {"".join(r.itemset) for r in itemsets.son_candidates(b, support).collect()}
-    assert {x for x, _ in want if len(x) == 2} <= pairs
+    candidates = {"".join(r.itemset) for r in itemsets.son_candidates(b, support).collect()}
+    assert {x for x, _ in want} <= candidates
 
 
 def test_fp_growth_keeps_exact_support(spark):
@@ -67,6 +68,23 @@ def test_itemset_downward_closure(spark):
     assert got == want
 
 
+def test_partitioned_scheme_of_all_sizes(spark):
+    rng = random.Random(3)
+    core = ["a", "b", "c", "d"]
+    data = [(i, sorted({*(core if rng.random() < 0.4 else []), *(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4)))})) for i in range(80)]
+    df = spark.createDataFrame(data, "basket int, items array<string>")
+    count = lambda rows: Counter(c for b in rows for k in range(1, 9) for c in itertools.combinations(b, k))
+    want = {c: n for c, n in count([b for _, b in data]).items() if n >= 20}
+    assert {tuple(r.itemset): r.freq for r in itemsets.son(df, 20).collect()} == want and max(map(len, want)) >= 4
+    local = Counter()
+    for p in range(3):
+        part = [b for i, b in data if i % 3 == p]
+        local.update(c for c, n in count(part).items() if n * len(data) >= 20 * len(part))
+    got = itemsets.son_candidates(df, 20, part=F.col("basket") % 3)
+    assert {tuple(r.itemset): r.n_parts for r in got.collect()} == local and set(want) <= set(local)
+    assert itemsets.son(df.limit(0), 1).count() == 0
+
+
 def test_hash_functions(spark):
     assert [hashing.next_prime(x) for x in (10000, 0, 1)] == [10007, 1 + 1, 2]
     one = spark.createDataFrame([("Las Vegas",), ("Reno",), ("é",), ("",)], "s string").select("s", hashing.bytes_mod(F.col("s"), 10007).alias("m"))
@@ -214,6 +232,8 @@ def test_label_propagation_and_cooccurrence(spark):
         want = {n: min(Counter(want[x] for x in nb[n]).items(), key=lambda t: (-t[1], t[0]))[0] for n in nb}
     assert labels == want
     assert graph.label_propagation(e.limit(0)).count() == 0
+    named = {r.node: r.label for r in graph.label_propagation(e.select(*(F.concat(F.lit("n"), F.col(c).cast("string")).alias(c) for c in "ab"))).collect()}
+    assert named == {f"n{k}": f"n{v}" for k, v in want.items()}
     assert graph.communities(graph.label_propagation(e)).count() >= 2
 
 
@@ -272,7 +292,40 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.flags_line(spark.createDataFrame([(2, 0), (1, 1)], "o int, flag int"), "o", p("f"))
     assert rows(spark.read.text(p("f"))) == [("1 0",)]
     writers.membership_object(spark.createDataFrame([(2, -1), (1, 0)], "id long, cluster int"), p("mm"))
-    assert sorted(r[0] for r in rows(spark.read.text(p("mm")))) == ['{"1":0}', '{"2":-1}']
+    parts = sorted((tmp_path / "mm").glob("part-*"))
+    assert json.loads("".join(x.read_text() for x in parts)) == {"1": 0, "2": -1}
+    writers.itemset_report_lines({"Candidates:": itemset_sizes(spark, [["b"], ["a"], ["a", "b"]]), "Frequent Itemsets:": itemset_sizes(spark, [["a"]])}, p("rep"))
+    assert [x for f in (tmp_path / "rep").glob("part-*") for x in f.read_text().split("\n")][:-1] == ["Candidates:", "", "('a'),('b')", "", "('a', 'b')", "", "Frequent Itemsets:", "", "('a')", ""]
+    (tmp_path / "stop").write_text("the\nof\n")
+    assert rows(readers.text_tokens(spark, p("stop"))) == [("the",), ("of",)]
+
+
+def itemset_sizes(spark, sets):
+    return spark.createDataFrame([(s, len(s)) for s in sets], "itemset array<string>, size int")
+
+
+def test_bfr_over_a_folder_of_chunk_files(spark, tmp_path):
+    rng = random.Random(6)
+    folder, ids = tmp_path / "points", iter(range(10_000))
+    folder.mkdir()
+    for c in range(3):
+        lines = []
+        for k in range(80):
+            lines.append(f"{next(ids)},{10.0 * (k % 3) + rng.gauss(0, 0.3)},{-7.0 * (k % 3) + rng.gauss(0, 0.3)}")
+        # two points of their own group, far from all others: a compression cluster until the end
+        lines += [f"{next(ids)},{200 + rng.random()},{200 + rng.random()}" for _ in range(4)]
+        (folder / f"data{c}.txt").write_text("\n".join(lines) + "\n")
+    points = readers.numeric_points(spark, f"file://{folder}")
+    rounds, members = cluster.bfr(points, "chunk", 3)
+    last = rounds.orderBy(F.desc("round_id")).first()
+    assert [r.round_id for r in rounds.orderBy("round_id").collect()] == [0, 1, 2]
+    assert (last.nof_cluster_compression, last.nof_point_compression) == (0, 0) and last.nof_point_discard + last.nof_point_retained == 252
+    count = Counter(r.cluster for r in members.collect())
+    assert sum(n for c, n in count.items() if c >= 0) == last.nof_point_discard and count[-1] == last.nof_point_retained
+    writers.append_rounds(rounds.filter("round_id < 2"), f"file://{tmp_path}/rounds")
+    writers.append_rounds(rounds.filter("round_id = 2"), f"file://{tmp_path}/rounds")
+    back = spark.read.csv(f"file://{tmp_path}/rounds").collect()
+    assert sorted(tuple(map(int, r)) for r in back) == sorted(map(tuple, rounds.collect()))
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -292,7 +345,73 @@ def test_streams_equal_batches(spark, tmp_path):
     out = f"file://{tmp_path}/blocks"
     writers.append_level_blocks(stream(), out, f"file://{tmp_path}/ck").awaitTermination()
     lines = [r[0] for r in rows(spark.read.text(out))]
-    assert "a:150" in lines and "b:150" in lines and "" in lines
+    assert "a:150" in lines and "b:150" in lines and "" in lines and "The number of tags from the beginning:300" in lines
+    flat = f"file://{tmp_path}/flat"
+    writers.append_batches(stream().select("n", "tag"), flat, f"file://{tmp_path}/ck2").awaitTermination()
+    assert sorted((int(a), b) for a, b in rows(spark.read.csv(flat))) == sorted(rows(events.select("n", "tag")))
+
+
+def test_reservoir_that_counts_for_itself(spark, tmp_path):
+    """Over micro-batches in their order it is the sequential algorithm; a batch that runs twice changes nothing."""
+    from oreflow.streaming import windows
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    schema, order, base = "o long", [], 1000
+    for f in range(4):
+        part = [base - i for i in range(40)]  # numbers fall from batch to batch, so arrival is not their order
+        base -= 40
+        spark.createDataFrame([(x,) for x in part], schema).coalesce(1).write.parquet(str(folder / f"f{f}"))
+        order += sorted(part)
+    held = {}
+    for n, x in enumerate(order, 1):
+        slot = spark_slot(n, 25)
+        if slot:
+            held[slot] = (n, x)
+    state = f"file://{tmp_path}/state"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(folder))
+    query = windows.counted_reservoir(stream, "o", state, f"file://{tmp_path}/ck", size=25)
+    query.awaitTermination()
+    got = windows.reservoir_state(spark, state, query.lastProgress["batchId"])
+    assert query.lastProgress["batchId"] == 3
+    assert {r.slot: r.n for r in got.collect()} == {s: n for s, (n, _) in held.items()}
+    arrived = [r.o for e in range(4) for r in windows.reservoir_state(spark, state, e).filter(f"n > {40 * e}").orderBy("n").collect()]
+    assert set(arrived) <= set(order) and sorted(r.n for r in got.collect()) == sorted(n for n, _ in held.values())
+
+
+def spark_slot(n, size, m=2147483647):
+    draw = lambda p: ((n * n % m) * p[0] + n % m * p[1] + p[2]) % m
+    return n if n <= size else draw(hashing.LCG_SLOT) * size // m + 1 if draw(hashing.LCG_ACCEPT) * n <= size * m else None
+
+
+def test_socket_source_on_a_timed_trigger(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    from oreflow.streaming import windows
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        connection, _ = server.accept()
+        with connection:
+            for i in range(50):
+                connection.sendall(f"city{i % 7}\n".encode())
+            time.sleep(20)
+
+    threading.Thread(target=serve, daemon=True).start()
+    lines = windows.socket_lines(spark, "127.0.0.1", server.getsockname()[1])
+    query = writers.append_batches(lines.select("value"), f"file://{tmp_path}/lines", f"file://{tmp_path}/ck", every="1 seconds")
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if any((tmp_path / "lines").glob("part-*")) and spark.read.csv(f"file://{tmp_path}/lines", "value string").count() == 50:
+                break
+        assert Counter(r.value for r in spark.read.csv(f"file://{tmp_path}/lines", "value string").collect()) == Counter(f"city{i % 7}" for i in range(50))
+    finally:
+        query.stop()
+        server.close()
 
 
 def test_apriori_has_no_largest_size(spark):
