@@ -141,7 +141,7 @@ class Meaning:
 
 
 def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     at = runs(keys)
     total = np.add.reduceat(values[order].astype(np.uint64), at) if len(at) else values.astype(np.uint64)
@@ -182,7 +182,7 @@ def replied(table: pa.Table, value: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All of a block's replies: keys in order, and their values."""
     keys, values = _cells(table, value)
     keys, values = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, value), *values])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     return keys[order], values[order]
 
 

@@ -80,11 +80,16 @@ PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
 
 
 def _first_places(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the first place of each."""
-    order = np.lexsort((places["at"], places["doc"], keys))
-    keys = keys[order]
+    """Distinct keys in order, and the first place of each: of the smallest document the smallest position."""
+    order = np.argsort(keys)
+    keys, doc = keys[order], places["doc"][order]
     at = B.runs(keys)
-    return keys[at], places[order[at]]
+    out = np.empty(len(at), PLACE)
+    if len(at):
+        out["doc"] = np.minimum.reduceat(doc, at)
+        mine = doc == np.repeat(out["doc"], np.diff(np.append(at, len(keys))))
+        out["at"] = np.minimum.reduceat(np.where(mine, places["at"][order], np.iinfo(np.int32).max), at)
+    return keys[at], out
 
 
 #: The first place of a window; a sender is told where an earlier document than its own holds it.
@@ -156,8 +161,17 @@ def _parse(window: int, carry: tuple[str, ...]):
         for p in pieces(docs):
             w = words(texts_of(p.column("text")))
             at, key, _ = _windows(w, window)
-            batches.append((p, w, at, key, _places(w, at, _ids(p))))
+            batches.append((p, w, at, key))
+        # a known window is one that was answered, or one that stands in the block twice; few of all are
         told, best = B.replied(replies, PLACE)
+        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *(b[3] for b in batches)]))
+        asked = np.union1d(told, every[1:][every[1:] == every[:-1]])
+        del every
+        for i, (p, w, at, key) in enumerate(batches):
+            there = np.zeros(len(key), bool)
+            if len(asked):
+                there = asked[np.minimum(np.searchsorted(asked, key), len(asked) - 1)] == key
+            batches[i] = p, w, at[there], key[there], _places(w, at[there], _ids(p))
         known, first = _first_places(np.concatenate([told, *(b[3] for b in batches)]), np.concatenate([best, *(b[4] for b in batches)]))
         out = []
         for p, w, at, key, own in batches:
