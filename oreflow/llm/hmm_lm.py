@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreflow.llm import blocks as B
-from oreflow.llm.scratch import kept
+from oreflow.llm.scratch import dropped, kept
 from oreflow.llm.words import Words, buffer_of, mix, pieces, texts_of, words
 
 SYMBOLS = 4096
@@ -310,5 +310,6 @@ def hmm_scores(docs: DataFrame, is_train: Column, states: int = 6, seed: int = 0
     words_seen, vocab = sum(r.total for r in sums), sum(r.vocab for r in sums)
     tokens, types = words_seen + ends, vocab + (ends > 0)
     model = _converged(sequences, states, seed)
+    dropped(sequences)
     scored = blocks.with_replies(told.filter("block IS NOT NULL"), _scorer(model, np.log10(share + 1), ends, float(np.log10(tokens + types + 1))), _SCORES_SQL)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -102,11 +102,13 @@ def _ranker(k: int, percent: int):
 def shingle_sets(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Per document: n (set size); and, where enough shingles have a second holder to reach
     the threshold at all, tokens (those shingles, rare first), n_own (the others' number, which
-    come before them in the order) and a fingerprint of the whole set."""
+    come before them in the order) and a fingerprint of the whole set.  A table in the shared folder."""
     blocks = B.in_blocks(docs)
     exchange = B.Exchange.over(blocks, B.FREQUENCY)
     replies = exchange.replies(blocks.table.mapInArrow(B.each_block(_sender(k, exchange)), B.ROWS))
-    return blocks.with_replies(replies, _ranker(k, percent), _SETS_SQL)
+    sets = kept(blocks.with_replies(replies, _ranker(k, percent), _SETS_SQL), "shingle-sets")
+    dropped(blocks.table)
+    return sets
 
 
 _POSTS = pa.schema([("token", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("before", pa.int64()), ("suffix", pa.list_(pa.int64()))])
@@ -212,7 +214,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     node: what links to any of them links to all.  An empty input gives an empty result.
     Very long texts are processed whole.
     """
-    every = kept(shingle_sets(docs, k, percent), "shingle-sets")
+    every = shingle_sets(docs, k, percent)
     cand = every.filter(F.col("tokens").isNotNull() & F.col("doc_id").isNotNull())
     # both written as they are: then the join's sides are plain exchanges and nothing above it needs a
     # class's rows together, so adaptive execution can split a class that holds a third of all rows
@@ -221,14 +223,16 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     # a representative whose set differs from others of its id keeps every such set
     sets = kept(cand.join(classes.withColumnRenamed("rep", "doc_id"), ["fp_a", "fp_b", "n", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "n_own", "tokens").dropDuplicates(["rep", "tokens"]), "sets")
     posts = kept(sets.select("rep", "n", "n_own", "tokens").mapInArrow(prefix_posts(percent), _POSTS_SQL), "posts")
-    # leaders: one comparison per class and posting list
-    lead = posts.groupBy("token").agg(F.min_by(F.struct("rep", "n", "pos", "before", "suffix"), "rep").alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "l.*")
-    first = posts.alias("a").join(lead.alias("b"), "token").filter((F.col("a.rep") > F.col("b.rep")) & _in_order(percent)).select(F.col("b.rep").alias("a"), F.col("a.rep").alias("b")).distinct()
+    # most tokens are in one prefix only; what is left is compared with the smallest id of its posting list
+    lead = posts.groupBy("token").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("token", "lead")
+    shared = kept(posts.join(lead, "token"), "shared-posts")
+    dropped(posts)
+    first = shared.filter("rep > lead").alias("a").join(shared.filter("rep = lead").alias("b"), "token").filter(_in_order(percent)).select(F.col("b.rep").alias("a"), F.col("a.rep").alias("b")).distinct()
     first = kept(first, "first-pairs")
     links = kept(_verified(first, sets, percent), "links")
     label = kept(components(links), "labels")
     # what the leaders left apart
-    tagged = posts.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    tagged = shared.drop("lead").join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
     tagged = kept(tagged, "tagged")
     mixed = tagged.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("token", "low")
     # sizes that the length filter allows lie in one band of sizes or in neighbouring ones
@@ -246,7 +250,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     twin = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("doc_id", "a").join(member, "doc_id").select("a", F.col("rep").alias("b"))
     more = components(to_label(to_label(_verified(rest, sets, percent).unionByName(twin), "a"), "b").filter("a <> b").distinct())
     more = kept(more.select(F.col("id").alias("label"), F.col("label").alias("top")), "merged")
-    for table in (posts, first, links, tagged, apart, sets):
+    for table in (shared, first, links, tagged, apart, sets):
         dropped(table)
     by_class = member.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("label"))
     by_class = by_class.join(more, "label", "left").groupBy("doc_id").agg(F.min(F.coalesce("top", "label")).alias("component_id"))
