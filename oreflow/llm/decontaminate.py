@@ -15,9 +15,10 @@ that the item does not.
 
 Every window of the benchmark is indexed.  On the documents' side only windows around an
 *anchor* are hashed: for each benchmark window, its rarest literal token is an anchor (rare
-in the benchmark, then long).  A document window equal to a benchmark window holds that
-token, so nothing is missed, while most positions of the corpus cost one set lookup.  A
-window without literals is matched by its values, the rarest of which is its anchor.
+in a sample of the documents, then in the benchmark, then long).  A document window equal to
+a benchmark window holds that token, whichever it is, so nothing is missed, while most
+positions of the corpus cost one set lookup.  A window without literals is matched by its
+values, the rarest of which is its anchor.
 
 Only DataFrame functions.
 """
@@ -37,7 +38,10 @@ UNITS = "mm|cm|m|km|in|inch|inches|ft|feet|foot|yards?|miles?|mg|g|kg|lbs?|pound
 MAX_ANCHORS = 200_000
 """Bound of the anchor set that is sent to all tasks; a larger benchmark is matched in parts of this size."""
 LEAST_TOKENS = 5
-"""Shorter items are not matched: any text may hold them."""
+"""Shorter items are not matched, as any text may hold them; :func:`short_items` names them."""
+SAMPLE = 10_000
+"""Documents, about, that tell which tokens are rare; they decide on speed alone."""
+_IDEOGRAPH = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def template_tokens(text: Column) -> Column:
@@ -45,6 +49,7 @@ def template_tokens(text: Column) -> Column:
 
     A capitalised word is a name by its context after a lower-case letter, comma or semicolon and one white
     space; elsewhere, as at the start of a sentence, it may be one.  A unit is a unit word right after a number.
+    Han, Hiragana and Katakana, which stand without spaces, are a token a character.
     """
     s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x04]", " ")
     s = F.regexp_replace(s, r"\p{Lu}(?=\p{Ll})(?<![\p{L}\p{M}]\p{Lu})", f"{CAPITAL}$0")
@@ -53,9 +58,15 @@ def template_tokens(text: Column) -> Column:
     s = F.regexp_replace(s, r"[^\p{L}\p{M}\d\x02\x04]+", " ")
     s = F.regexp_replace(s, r"\d+", f" {NUMBER}$0 ")
     s = F.regexp_replace(s, rf"(\x01\d+ +)\x04?(?=(?:{UNITS})(?: |$))", f"$1{UNIT}")
+    s = F.when(s.rlike(_IDEOGRAPH), F.regexp_replace(s, _IDEOGRAPH, " $0 ")).otherwise(s)
     return F.filter(F.split(s, " +"), lambda x: x != "")
 
 
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n_tokens) of the items that are too short to be matched; null and empty ones have 0 tokens."""
+    return benchmark.select("item_id", F.size(template_tokens(F.col("text"))).alias("n_tokens")).filter(F.col("n_tokens") < LEAST_TOKENS)
+
+
 def _is_capital(x: Column) -> Column:
     return x.startswith(NAME) | x.startswith(CAPITAL)
 
@@ -117,7 +128,15 @@ def _windows_at(tokens: Column, size: int) -> Callable[[Column], Column]:
     return window
 
 
-def _benchmark_windows(items: DataFrame, window: int) -> DataFrame:
+def _in_sample(docs: DataFrame, literals: DataFrame) -> DataFrame:
+    """(token, seen): how often literals stand in a sample of the documents."""
+    rows = docs.count()
+    some = docs.select("text").sample(fraction=min(1.0, SAMPLE / max(rows, 1)), seed=0)
+    tokens = some.select(F.explode(template_tokens(F.col("text"))).alias("x")).select(_bare(F.col("x")).alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).join(literals.select("token"), "token", "left_semi")
+
+
+def _benchmark_windows(items: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """(item_id, n_tokens, size, at, hash, slots, in_context, anchor) of every window, for each choice of names."""
     tok = items.select("item_id", template_tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_TOKENS)
     tok = tok.withColumn("n_tokens", F.size("t")).withColumn("size", F.least("n_tokens", F.lit(window)))
@@ -130,7 +149,9 @@ def _benchmark_windows(items: DataFrame, window: int) -> DataFrame:
     spans = spans.withColumns({"in_context": F.col("typed") == _in_context(F.col("raw")), "hash": F.xxhash64("size", _shape(F.col("typed"))), "slots": F.filter("typed", _is_slot), "literal": F.filter("typed", lambda x: ~_is_slot(x))})
     spans = spans.withColumn("literal", F.when(F.size("literal") > 0, F.col("literal")).otherwise(F.transform("slots", _bare)))
     often = spans.select("item_id", F.explode("literal").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = spans.select("size", "hash", F.explode("literal").alias("token")).distinct().join(often, "token").groupBy("size", "hash").agg(F.min(F.struct("n", (-F.length("token")).alias("l"), "token")).alias("best"))
+    spans, often = kept(spans, "benchmark-windows"), kept(often, "literals")
+    often = often.join(_in_sample(docs, often), "token", "left").select("token", F.coalesce("seen", F.lit(0)).alias("seen"), "n")
+    ranked = spans.select("size", "hash", F.explode("literal").alias("token")).distinct().join(often, "token").groupBy("size", "hash").agg(F.min(F.struct("seen", "n", (-F.length("token")).alias("l"), "token")).alias("best"))
     return spans.join(ranked, ["size", "hash"]).select("item_id", "n_tokens", "size", "at", "hash", "slots", "in_context", F.col("best.token").alias("anchor"))
 
 
@@ -170,11 +191,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, least_c
     ``least_percent`` of the item, and either their slots are equal or the slots are consistent;
     the windows are those of any one occurrence, or of the whole document.
 
-    Null or empty texts hold nothing; items under LEAST_TOKENS tokens are not matched; null ids are
+    Null or empty texts hold nothing; items under LEAST_TOKENS tokens are not matched (see :func:`short_items`); null ids are
     ids like any other; repeated documents under one id are one document, as are repeated items.
     An empty table on either side gives an empty result.  Documents are read whole.
     """
-    spans = _benchmark_windows(benchmark, window)
+    spans = kept(_benchmark_windows(benchmark, docs, window), "anchored-windows")
     anchors = [r.anchor for r in spans.select("anchor").distinct().collect()]
     sizes = [r.size for r in spans.select("size").distinct().collect()]
     tok = docs.select("doc_id", F.xxhash64("text").alias("copy"), template_tokens(F.col("text")).alias("t"))

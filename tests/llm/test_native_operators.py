@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from oreflow.llm import chat_format, mixing, warc
 from oreflow.llm import quality as quality_module
-from oreflow.llm.decontaminate import clean, contaminated
+from oreflow.llm.decontaminate import clean, contaminated, short_items
 from oreflow.llm.quality import Limits, quality
 from oreflow.llm.scratch import new_path
 from oreflow.llm.url_filter import Rule, Trie, url_verdicts
@@ -255,6 +255,56 @@ def test_decontamination_of_names_in_any_context(spark):
     assert leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 2), (4, 2), (5, 3), (6, 3)}
 
 
+def test_decontamination_of_ideographs_and_short_items(spark):
+    items = [(1, "\u6211\u4eec\u5728\u5546\u5e97\u4e70\u4e8612\u4e2a\u82f9\u679c\u548c3\u4e2a\u68a8\u5171\u82b1\u4e86\u591a\u5c11\u94b1"), (2, "too short an item"), (3, None)]
+    docs = [(1, "\u6628\u5929" + items[0][1] + "\u3002"), (2, items[0][1].replace("12", "7").replace("3", "5")), (3, items[0][1][:6] + "\u4e0d\u540c\u7684\u5185\u5bb9\u5728\u8fd9\u91cc"), (4, "too short an item")]
+    assert leaks(spark, docs, items) == {(1, 1), (2, 1)}
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {r.item_id: r.n_tokens for r in short_items(b).collect()} == {2: 4, 3: 0}
+
+
+def brute_leaks(docs, items, window=8, covered=13, percent=60):
+    """Pairs by comparing every window of words with every other, for items without capitals: numbers are slots."""
+    slot = lambda w: "#" if w.isdigit() else w
+    out = set()
+    for d, doc in docs:
+        w = doc.split()
+        for i, item in items:
+            v = item.split()
+            size = min(window, len(v))
+            hits = [(a, b) for a in range(len(v) - size + 1) for b in range(len(w) - size + 1) if [slot(x) for x in v[a : a + size]] == [slot(x) for x in w[b : b + size]]]
+            for diagonal in {b - a for a, b in hits}:
+                mine = [(a, b) for a, b in hits if b - a == diagonal]
+                for picked, strict in ((mine, False), ([(a, b) for a, b in mine if all(x == y or not x.isdigit() for x, y in zip(v[a : a + size], w[b : b + size]))], True)):
+                    tokens = {a + k for a, _ in picked for k in range(size)}
+                    pairs = {(v[a + k], w[b + k]) for a, b in picked for k in range(size) if v[a + k].isdigit()}
+                    enough = len(tokens) >= covered or 100 * len(tokens) >= percent * len(v)
+                    if enough and (strict or len({p for p, _ in pairs}) == len(pairs)):
+                        out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_decontamination_equals_a_window_matcher(spark, seed):
+    """Random templates; an item stands at most once in a document, so that an occurrence is a diagonal."""
+    rng = random.Random(seed)
+    words = [f"{a}{b}o" for a in "bdfgk" for b in "aeiu"]
+    text = lambda n: [str(rng.randint(1, 9)) if rng.random() < 0.25 else rng.choice(words) + rng.choice(words) for _ in range(n)]
+    items, docs = [(i, text(rng.randint(6, 30))) for i in range(12)], []
+    for d in range(60):
+        v = list(rng.choice(items)[1])
+        a = rng.randrange(len(v) // 2)
+        part = v[a : a + rng.randint(3, len(v))]
+        kind, change = rng.randrange(4), dict(zip("123456789", rng.sample("123456789", 9)))
+        part = [change.get(x, x) if kind == 1 else rng.choice("123456789") if kind == 2 and x.isdigit() else x for x in part]
+        if kind == 3:
+            part[rng.randrange(len(part))] = "other"
+        docs.append((d, text(12) + part + text(12)))
+    items, docs = [[(k, " ".join(x)) for k, x in rows] for rows in (items, docs)]
+    want = brute_leaks(docs, items)
+    assert leaks(spark, docs, items) == want and 10 < len(want) < 60
+
+
 RULES = [Rule.parse("allow", "org/"), Rule.parse("block", "example.org/es/"), Rule.parse("block", "example.org/en/1"), Rule.parse("allow", "com/fr/"), Rule.parse("block", "com/de/")]
 
 
