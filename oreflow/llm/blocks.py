@@ -159,23 +159,34 @@ REPLIES = "block long, keys binary, vals binary"
 _REPLIES = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 
 
-_KEY = np.dtype(np.uint64)
+_CODEC = "lz4_raw"
+_SIZE = np.dtype("<u4")
 
 
-def _bytes(values: np.ndarray) -> bytes:
-    """All first bytes, all second bytes and so on: the high bytes of sorted keys and of small numbers are
-    alike, so they take little room in a shuffle's compressed files."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
-    return raw.T.tobytes()
+def value_bytes(values: np.ndarray) -> bytes:
+    """Their number, and compressed all first bytes, all second bytes and so on: of small numbers the high bytes
+    are alike."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return np.array(len(values), _SIZE).tobytes() + pa.compress(planes.tobytes(), codec=_CODEC, asbytes=True)
 
 
-def _values(cell: pa.Buffer, value: np.dtype) -> np.ndarray:
-    planes = np.frombuffer(cell, np.uint8).reshape(value.itemsize, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(value)
+def values_of(cell: pa.Buffer, value: np.dtype) -> np.ndarray:
+    n = int(np.frombuffer(cell, _SIZE, 1)[0])
+    raw = pa.decompress(cell.slice(_SIZE.itemsize), n * value.itemsize, _CODEC)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(value.itemsize, n).T).reshape(-1).view(value)
+
+
+def key_bytes(keys: np.ndarray) -> bytes:
+    """Sorted keys, as steps from one to the next."""
+    return value_bytes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def keys_of(cell: pa.Buffer) -> np.ndarray:
+    return np.cumsum(values_of(cell, np.dtype(np.uint64)), dtype=np.uint64)
 
 
 def _cells(table: pa.Table, value: np.dtype) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    return [_values(x.as_buffer(), _KEY) for x in table.column("keys")], [_values(x.as_buffer(), value) for x in table.column("vals")]
+    return [keys_of(x.as_buffer()) for x in table.column("keys")], [values_of(x.as_buffer(), value) for x in table.column("vals")]
 
 
 def replied(table: pa.Table, value: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +214,7 @@ class Exchange:
         at = runs(part)
         base, out = prefix * self.fan ** (level + 1), []
         for a, b in zip(at, np.append(at[1:], len(keys))):
-            out.append({"unit": base + int(part[a]), "child": child, "keys": _bytes(keys[a:b]), "vals": _bytes(values[a:b])})
+            out.append({"unit": base + int(part[a]), "child": child, "keys": key_bytes(keys[a:b]), "vals": value_bytes(values[a:b])})
         return out
 
     def sent(self, block: int, keys: np.ndarray, values: np.ndarray) -> pa.Table:
@@ -229,8 +240,8 @@ class Exchange:
         for key, own in zip(keys, values):
             best = total[np.searchsorted(known, key)]
             tell = self.meaning.told(own, best)
-            out_keys.append(_bytes(key[tell]))
-            out_values.append(_bytes(best[tell]))
+            out_keys.append(key_bytes(key[tell]))
+            out_values.append(value_bytes(best[tell]))
         return pa.table([table.column("child"), pa.array(out_keys, pa.binary()), pa.array(out_values, pa.binary())], schema=_REPLIES)
 
     def _top(self, digest: Callable[[np.ndarray, np.ndarray], tuple[bytes, bytes]] | None) -> Callable[[pa.Table], pa.Table]:
