@@ -37,8 +37,8 @@ ROW_BYTES = 32
 FAN = 4096
 """Most senders of a unit, about; a message then has some hundred keys."""
 
-_ONE_BLOCK = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
-"""Rows are megabytes, so the writer looks at its buffers after each."""
+_ONE_BLOCK = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size": str(16 << 20)}
+"""Rows are megabytes, so the writer looks at its buffers after each, and a reader gets a few at a time."""
 
 
 def _flushed(held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
@@ -83,25 +83,26 @@ def unpacked(cell: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(cell.as_buffer()).read_all()
 
 
-def each_block(run: Callable[[int, pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over blocks: ``run`` gets a block's number and its documents."""
-
-    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, cell in zip(batch.column("block").to_pylist(), batch.column("docs")):
-                yield from run(block, unpacked(cell))
-
-    return every
-
-
 @dataclass(frozen=True)
 class Blocks:
-    """``table``: (block long, docs binary), in the shared folder."""
+    """``table``: (block long, docs binary), in the shared folder.
+
+    All steps of a query over blocks are grouped by block, so that they share one exchange of the packed texts,
+    and a worker holds one block at a time.
+    """
 
     table: DataFrame
     fan: int
     depth: int
 
+    def each(self, run: Callable[[int, pa.Table], pa.Table], schema) -> DataFrame:
+        """run(block, documents) for each block."""
+
+        def one(docs: pa.Table) -> pa.Table:
+            return run(docs.column("block")[0].as_py(), unpacked(docs.column("docs")[0]))
+
+        return self.table.groupBy("block").applyInArrow(one, schema)
+
     def with_replies(self, replies: DataFrame, run: Callable[[int, pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
         """run(block, documents, the block's replies) for each block."""
 

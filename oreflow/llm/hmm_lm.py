@@ -38,6 +38,9 @@ SYMBOLS = 4096
 """Word classes; one more symbol is the end token."""
 TOLERANCE = 1e-4
 """Training ends when a round raises the mean log10 likelihood of a token by less."""
+LONG = 1 << 19
+"""A text of more tokens is walked for itself, in segments, so that its states are never held at once."""
+SEGMENT = 1 << 16
 PIECE = 3 << 20
 """Bytes of symbols (two each) whose state probabilities a worker holds at once."""
 
@@ -125,13 +128,66 @@ def _forward(m: Model, order: np.ndarray, bound: np.ndarray, symbol: np.ndarray,
     return total, alpha, scale
 
 
-def forward(m: Model, symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log10 likelihood of each symbol sequence; and empty state probabilities and scales."""
+def _walk(m: Model, before: np.ndarray | None, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled state probabilities and scales of a segment of one text; before: those of the token before it."""
+    emit = np.ascontiguousarray(m.emit.T)[symbol]
+    alpha, scale = np.empty((len(symbol), m.states)), np.empty(len(symbol))
+    for t in range(len(symbol)):
+        a = (m.start if before is None else before @ m.step) * emit[t]
+        scale[t] = a.sum()
+        before = alpha[t] = a / scale[t]
+    return alpha, scale
+
+
+def _likelihood_of_one(m: Model, symbol: np.ndarray) -> float:
+    total, last = 0.0, None
+    for low in range(0, len(symbol), SEGMENT):
+        alpha, scale = _walk(m, last, symbol[low : low + SEGMENT])
+        total, last = total + float(np.log10(scale).sum()), alpha[-1]
+    return total
+
+
+def expected_of_one(m: Model, symbol: np.ndarray) -> Counts:
+    """The E step over one text of any length: forward once for the states at the segments' edges, then backward,
+    each segment's states computed anew."""
+    edges, last = [], None
+    for low in range(0, len(symbol), SEGMENT):
+        edges.append(last)
+        last = _walk(m, last, symbol[low : low + SEGMENT])[0][-1]
+    step, weight, b, score = np.zeros((m.states, m.states)), np.zeros((m.states, SYMBOLS + 1)), np.ones(m.states), 0.0
+    emit = np.ascontiguousarray(m.emit.T)
+    for i in range(len(edges) - 1, -1, -1):
+        part = symbol[i * SEGMENT : (i + 1) * SEGMENT]
+        alpha, scale = _walk(m, edges[i], part)
+        gamma = np.empty_like(alpha)
+        for t in range(len(part) - 1, -1, -1):
+            gamma[t] = alpha[t] * b
+            back = emit[part[t]] * b / scale[t]
+            before = alpha[t - 1] if t else edges[i]
+            if before is not None:
+                step += np.outer(before, back)
+            b = m.step @ back
+        weight += np.stack([np.bincount(part, weights=gamma[:, s], minlength=SYMBOLS + 1) for s in range(m.states)])
+        score += float(np.log10(scale).sum())
+    return Counts(gamma[0], step * m.step, weight, score)
+
+
+def forward(m: Model, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log10 likelihood of each symbol sequence."""
+    size, out = np.diff(first), np.empty(len(first) - 1)
+    long = np.flatnonzero(size > LONG)
+    for d in long:
+        out[d] = _likelihood_of_one(m, symbol[first[d] : first[d + 1]])
+    if len(long):
+        short = size <= LONG
+        symbol, first = symbol[np.repeat(short, size)], np.concatenate([[0], np.cumsum(size[short])])
+    else:
+        short = np.ones(len(size), bool)
     order, bound, by_time = _in_time(symbol, first)
-    total, alpha, scale = _forward(m, order, bound, by_time, False)
-    out = np.empty(len(order))
-    out[order] = total
-    return out, alpha, scale
+    total = np.empty(len(order))
+    total[order], _, _ = _forward(m, order, bound, by_time, False)
+    out[short] = total
+    return out
 
 
 def expected(m: Model, symbol: np.ndarray, first: np.ndarray) -> Counts:
@@ -196,9 +252,9 @@ def _to_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([packed], ["symbols"])
 
 
-def _block_symbols(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+def _block_symbols(block: int, docs: pa.Table) -> pa.Table:
     """Symbol sequences of a block's training texts."""
-    yield from _to_symbols(docs.filter(docs.column("train")).to_batches())
+    return pa.Table.from_batches(_to_symbols(docs.filter(docs.column("train")).to_batches()), schema=pa.schema([("symbols", pa.binary())]))
 
 
 def _e_step(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -209,7 +265,9 @@ def _e_step(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             batch = batch.take(pc.sort_indices(pc.binary_length(batch.column("symbols"))))
             for p in pieces(batch, "symbols", PIECE):
                 data, at = buffer_of(p.column("symbols").cast(pa.large_binary()))
-                got = expected(model, np.frombuffer(data.tobytes(), np.uint16).astype(np.int64), at // 2).cells()
+                symbol = np.frombuffer(data.tobytes(), np.uint16).astype(np.int64)
+                # sorted by length, so a text longer than a piece is one for itself
+                got = (expected_of_one(model, symbol) if len(at) == 2 and len(symbol) > LONG else expected(model, symbol, at // 2)).cells()
                 total = got if total is None else total + got
         if total is not None:
             at = np.flatnonzero(total)
@@ -226,13 +284,13 @@ def _keys(w: Words) -> np.ndarray:
 def _send_words(exchange: B.Exchange):
     """A block's words with their training counts; words that only stand in other texts are asked for with 0."""
 
-    def send(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    def send(block: int, docs: pa.Table) -> pa.Table:
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for p in pieces(docs):
             w = words(texts_of(p.column("text")), lower=True)
             keys.append(_keys(w))
             counts.append(np.repeat(p.column("train").to_numpy().astype(np.uint64), w.counts))
-        yield from exchange.sent(block, np.concatenate(keys), np.concatenate(counts)).to_batches()
+        return exchange.sent(block, np.concatenate(keys), np.concatenate(counts))
 
     return send
 
@@ -276,7 +334,7 @@ def _scorer(model: Model, log_share: np.ndarray, end_count: int, base: float):
             by_doc = lambda x: np.bincount(owner, weights=x, minlength=p.num_rows)  # noqa: B023, E731
             counted, known = by_doc(log_count[place]), by_doc(total[place] > 0)
             shared = by_doc(log_share[symbol])
-            latent, _, _ = forward(model, *with_ends(symbol, w.first))
+            latent = forward(model, *with_ends(symbol, w.first))
             n = w.counts + 1
             columns = [p.column("doc_id").combine_chunks().cast(pa.int64()), p.column("train").combine_chunks(), pa.array(n), pa.array(known.astype(np.int64) + (end_count > 0)), pa.array(counted + np.log10(end_count + 1.0) - n * base), pa.array(latent + counted - shared)]
             out.append(pa.table(columns, schema=_SCORES))
@@ -300,9 +358,9 @@ def hmm_scores(docs: DataFrame, is_train: Column, states: int = 6, seed: int = 0
     flag = F.coalesce(is_train, F.lit(True))
     blocks = B.in_blocks(docs.select("doc_id", "text", flag.alias("train")), ("train",))
     exchange = B.Exchange.over(blocks, B.TOTAL)
-    told = kept(exchange.replies(blocks.table.mapInArrow(B.each_block(_send_words(exchange)), B.ROWS), _by_symbol), "word-counts")
+    told = kept(exchange.replies(blocks.each(_send_words(exchange), B.ROWS), _by_symbol), "word-counts")
     sums = told.filter("block IS NULL").mapInArrow(_explode_symbols, "symbol int, vocab long, total long").groupBy("symbol").agg(F.sum("vocab").alias("vocab"), F.sum("total").alias("total")).collect()
-    sequences = kept(blocks.table.mapInArrow(B.each_block(_block_symbols), "symbols binary"), "symbols")
+    sequences = kept(blocks.each(_block_symbols, "symbols binary"), "symbols")
     ends = sequences.count()
     share = np.zeros(SYMBOLS)
     for r in sums:

@@ -65,9 +65,9 @@ def shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sender(k: int, exchange: B.Exchange):
-    def send(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    def send(block: int, docs: pa.Table) -> pa.Table:
         grams = np.concatenate([np.zeros(0, np.uint64), *(shingles(texts_of(p.column("text")), k)[0] for p in pieces(docs))])
-        yield from exchange.sent(block, grams, np.ones(len(grams), np.uint32)).to_batches()
+        return exchange.sent(block, grams, np.ones(len(grams), np.uint32))
 
     return send
 
@@ -105,7 +105,7 @@ def shingle_sets(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     come before them in the order) and a fingerprint of the whole set.  A table in the shared folder."""
     blocks = B.in_blocks(docs)
     exchange = B.Exchange.over(blocks, B.FREQUENCY)
-    replies = exchange.replies(blocks.table.mapInArrow(B.each_block(_sender(k, exchange)), B.ROWS))
+    replies = exchange.replies(blocks.each(_sender(k, exchange), B.ROWS))
     sets = kept(blocks.with_replies(replies, _ranker(k, percent), _SETS_SQL), "shingle-sets")
     dropped(blocks.table)
     return sets

@@ -23,8 +23,6 @@ Windows are compared by a 64-bit hash of their words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,7 +58,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 def _send_anchors(window: int, exchange: B.Exchange):
-    def send(block: int, docs: pa.Table) -> Iterator[pa.RecordBatch]:
+    def send(block: int, docs: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.uint64)]
         for p in pieces(docs):
             w = words(texts_of(p.column("text")))
@@ -70,7 +68,7 @@ def _send_anchors(window: int, exchange: B.Exchange):
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             found.append(anchor[fresh])
         anchors = np.concatenate(found)
-        yield from exchange.sent(block, anchors, np.ones(len(anchors), np.uint32)).to_batches()
+        return exchange.sent(block, anchors, np.ones(len(anchors), np.uint32))
 
     return send
 
@@ -229,7 +227,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, carry: tuple[str, ...] =
     """
     blocks = B.in_blocks(docs, carry)
     of_anchors, of_windows = B.Exchange.over(blocks, B.FREQUENCY), B.Exchange.over(blocks, FIRST)
-    anchors = of_anchors.replies(blocks.table.mapInArrow(B.each_block(_send_anchors(window, of_anchors)), B.ROWS))
+    anchors = of_anchors.replies(blocks.each(_send_anchors(window, of_anchors), B.ROWS))
     index = of_windows.replies(blocks.with_replies(anchors, _send_windows(window, of_windows), B.ROWS))
     return blocks.with_replies(index, _parse(window, carry), StructType([*StructType.fromDDL(_CUT_SQL), *(docs.schema[c] for c in carry)]))
 

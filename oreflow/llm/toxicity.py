@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oreflow.llm.scratch import kept
 from oreflow.llm.words import Words, mix, pieces, texts_of, words
 
 FEATURES = 1 << 18
 PREFIXES = (4, 5, 6)
 """A word also counts as its first bytes, so inflected forms share what is learned of their stem."""
-TRAIN_ROWS = 5000
-"""Bound of the labelled sample that the classifier is fitted on."""
+TRAIN_ROWS, TRAIN_BYTES = 5000, 64 << 20
+"""Bounds of the labelled sample that the classifier is fitted on: rows, and UTF-8 bytes of their texts together."""
 ROUNDS = 160
 MIN_DOCS = 4
 """Features in fewer training documents carry no weight."""
@@ -117,13 +118,19 @@ def fit(texts: list[str | None], toxic: list[int], sparsity: float = 3e-4, rate:
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most TRAIN_ROWS labelled documents (those with the smallest hashes of their id).
+    """Fit on at most TRAIN_ROWS labelled documents and TRAIN_BYTES of text: those with the smallest hashes of
+    their id, without texts of more than a 64th of these bytes.
 
-    ``labels``: (doc_id, toxic); null labels are left out, of contradicting ones the greater counts.
+    ``labels``: (doc_id, toxic, ...); null labels are left out, of contradicting ones the greater counts.  Rows
+    that repeat a doc_id are documents each; without labels, or with one label alone, nothing is toxic.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRAIN_ROWS).collect()
+    texts = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).filter(F.col("size") <= TRAIN_BYTES // 64)
+    order = [F.xxhash64("doc_id"), "doc_id", "text"]
+    held = kept(texts.join(F.broadcast(sample), "doc_id").orderBy(*order).limit(TRAIN_ROWS), "labelled").orderBy(*order)
+    total = np.cumsum([r["size"] for r in held.select("size").collect()])
+    rows = held.limit(int(np.searchsorted(total, TRAIN_BYTES, side="right"))).collect()
     return fit([r.text for r in rows], [r.toxic for r in rows]) if rows else Model(np.zeros(FEATURES + 1), -6.0)
 
 

@@ -175,7 +175,7 @@ def test_forward_and_expected_counts_match_direct_sums():
     model = hmm_lm.Model(share(rng.random(k)), share(rng.random((k, k))), share(rng.random((k, m))))
     seqs = [rng.integers(0, m, size=n) for n in (1, 5, 2, 9)]
     first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
-    score, _, _ = hmm_lm.forward(model, np.concatenate(seqs), first)
+    score = hmm_lm.forward(model, np.concatenate(seqs), first)
     assert np.allclose(score, [brute_likelihood(model, s) for s in seqs])
     got = hmm_lm.expected(model, np.concatenate(seqs), first)
     step, start = np.zeros((k, k)), np.zeros(k)
@@ -192,6 +192,46 @@ def test_forward_and_expected_counts_match_direct_sums():
     assert np.isclose(got.emit.sum(), sum(map(len, seqs)))
 
 
+def test_long_texts_are_walked_in_segments(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 7)
+    rng = np.random.default_rng(2)
+    k, m = 3, hmm_lm.SYMBOLS + 1
+    share = lambda x: x / x.sum(-1, keepdims=True)
+    model = hmm_lm.Model(share(rng.random(k)), share(rng.random((k, k))), share(rng.random((k, m))))
+    for n in (1, 7, 8, 50):
+        one = rng.integers(0, m, size=n)
+        assert np.allclose(hmm_lm.expected_of_one(model, one).cells(), hmm_lm.expected(model, one, np.array([0, n])).cells())
+    seqs = [rng.integers(0, m, size=n) for n in (5, 40, 3, 60, 1)]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+    want = hmm_lm.forward(model, np.concatenate(seqs), first)
+    monkeypatch.setattr(hmm_lm, "LONG", 30)
+    assert np.allclose(hmm_lm.forward(model, np.concatenate(seqs), first), want)
+
+
+def brute_score(model, texts, trained, text):
+    """The model's log10 probability of a text by its definition: state paths summed, word within its class by counts."""
+    count, of_class = Counter(), defaultdict(Counter)
+    symbol = lambda word: int(hmm_lm.symbols_of(words(texts_of(pa.array([word]))))[0])
+    for t in trained:
+        for x in byte_words(texts[t], lower=True):
+            count[x] += 1
+            of_class[symbol(x.decode())][x] += 1
+    mine = [x.decode() for x in byte_words(text, lower=True)]
+    latent = brute_likelihood(model, [*map(symbol, mine), hmm_lm.SYMBOLS])
+    return latent + sum(math.log10((count[x.encode()] + 1) / (of_class[symbol(x)].total() + len(of_class[symbol(x)]) + 1)) for x in mine)
+
+
+def test_hmm_score_equals_its_definition(spark, monkeypatch):
+    texts = {i: t for i, t, *_ in corpus(6)[:40]} | {900: "unseen words only zzz", 901: None, 902: "the the The"}
+    models = []
+    monkeypatch.setattr(hmm_lm, "_converged", lambda *a, f=hmm_lm._converged: models.append(f(*a)) or models[-1])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hmm_lm.hmm_scores(docs, F.col("doc_id") % 3 != 0, states=3).collect()}
+    trained = [i for i in texts if i % 3 != 0]
+    for i in (0, 1, 2, 3, 900, 901, 902):
+        assert abs(got[i] - brute_score(models[0], texts, trained, texts[i])) < 1e-6 * (1 + abs(got[i]))
+
+
 def test_hmm_scores_counts_and_base(spark):
     rows = corpus(2) + [(500, "the the The", "", 0), (500, "the the The", "", 0)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -224,7 +264,7 @@ def test_hmm_training_converges_on_all_texts(spark):
     texts = [text(0, 12) for _ in range(2500)] + [text(1, 400) for _ in range(40)] + [text(2, 400) for _ in range(15)]
     model = hmm_lm.trained(spark.createDataFrame([(t,) for t in texts], "text string"))
     symbol, first = hmm_lm._symbol_sequences(pa.array(texts, pa.large_string()))
-    mean = lambda m: hmm_lm.forward(m, symbol, first)[0].sum() / len(symbol)
+    mean = lambda m: hmm_lm.forward(m, symbol, first).sum() / len(symbol)
     assert mean(hmm_lm.maximised(hmm_lm.expected(model, symbol, first))) - mean(model) < 1e-4
 
 
@@ -261,6 +301,33 @@ def test_toxicity_learns_words_and_finds_the_sentence(spark):
             assert any(x.startswith(("fiend", "rotter")) for x in w)
 
 
+def test_noisy_or_and_its_gradient():
+    """Against direct products, and the fit's descent against differences of the loss."""
+    z, doc = np.array([-1.0, 0.5, 2.0, -3.0]), np.array([0, 0, 1, 3])
+    p = 1 - np.exp(-toxicity.noisy_or(z, doc, 4))
+    one = 1 / (1 + np.exp(-z))
+    assert np.allclose(p, [1 - (1 - one[0]) * (1 - one[1]), one[2], 0, one[3]])
+    texts = [f"calm words here. {'vile thing.' if i % 3 == 0 else 'fine thing.'} more calm words." for i in range(60)] + ["vile. " + "calm words here. " * 40] * 3
+    toxic = [int(i % 3 == 0) for i in range(60)] + [1] * 3
+    model = toxicity.fit(texts, toxic)
+    bag = toxicity.bags(words(texts_of(pa.array(texts)), lower=True))
+    loss = lambda m: -np.mean([math.log(max(q if y else 1 - q, 1e-300)) for q, y in zip(1 - np.exp(-toxicity.noisy_or(m.sentences(bag), bag.doc, len(texts))), toxic)])
+    start = toxicity.Model(np.zeros_like(model.weight), -6.0)
+    assert loss(model) < 0.1 * loss(start)
+    sure = 1 - np.exp(-toxicity.noisy_or(model.sentences(bag), bag.doc, len(texts)))
+    assert [int(q >= 0.5) for q in sure] == toxic
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: held.append(texts) or toxicity.Model(np.zeros(toxicity.FEATURES + 1), -6.0))
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 64 * 100)
+    docs = spark.createDataFrame([(i, "x" * (n := 40 + i % 70)) for i in range(500)] + [(1000, "y" * 101), (1001, None)], "doc_id long, text string")
+    toxicity.trained(docs, docs.select("doc_id", F.lit(1).alias("toxic")))
+    sizes = [len(t or "") for t in held[0]]
+    assert 64 * 100 - 110 < sum(sizes) <= 64 * 100 and max(sizes) <= 100
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b."), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -288,9 +355,9 @@ def test_exchange_over_several_rounds(spark, fan):
 
     def send(block, docs):
         h = words(texts_of(docs.column("text"))).hashes()
-        yield from exchange.sent(block, h, np.ones(len(h), np.uint32)).to_batches()
+        return exchange.sent(block, h, np.ones(len(h), np.uint32))
 
-    sent = made.table.mapInArrow(blocks.each_block(send), blocks.ROWS)
+    sent = made.each(send, blocks.ROWS)
     got = defaultdict(dict)
     for r in exchange.replies(sent).collect():
         keys, totals = blocks.replied(pa.table({"keys": [bytes(r.keys)], "vals": [bytes(r.vals)]}), blocks.FREQUENCY.value)
