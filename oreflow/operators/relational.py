@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\x0b\x0c"
 #: Tokens that are dropped as punctuation when they stand alone.
 PUNCTUATION = ["", "(", "[", ",", ".", "!", "?", ":", ";", "]", ")"]
+#: Signs that are taken out of a text, wherever they stand, where that is asked for.
+SIGNS = r'[()|\[\]",.!:;?]'
 
 
 def stripped(c: Column) -> Column:
@@ -34,10 +36,12 @@ def top_counts(df: DataFrame, column: str, m: int) -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc(column)).limit(m)
 
 
-def word_counts(docs: DataFrame, stopwords: DataFrame, keys: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+def word_counts(docs: DataFrame, stopwords: DataFrame, keys: tuple[str, ...] = (), text: str = "text", without_signs: bool = False) -> DataFrame:
     """(keys, word, n): lower-cased, stripped tokens of a split at single spaces, less stopwords (column word) and
-    lone punctuation, which are left out after counting, as each word is then looked at once."""
-    word = docs.select(*keys, F.explode(F.split(text, " ")).alias("_raw")).select(*keys, stripped(F.lower("_raw")).alias("word"))
+    lone punctuation, which are left out after counting, as each word is then looked at once; ``without_signs``: all
+    SIGNS are taken out before the split."""
+    plain = F.regexp_replace(text, SIGNS, "") if without_signs else F.col(text)
+    word = docs.select(*keys, F.explode(F.split(plain, " ")).alias("_raw")).select(*keys, stripped(F.lower("_raw")).alias("word"))
     counts = word.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
     return counts.filter(~F.col("word").isin(PUNCTUATION)).join(stopwords.select("word"), "word", "left_anti")
 

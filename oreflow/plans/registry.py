@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oreflow.functions import hashing
 from oreflow.functions.hashing import LCG_ACCEPT, LCG_SLOT, linear_family
 from oreflow.functions.storage import kept, new_path
 from oreflow.operators import cluster, graph, itemsets, recommend, relational, sampling, similarity, sketch, text
@@ -325,6 +326,22 @@ def bloom_probe(spark, d):
     return sketch.bloom_probe(nations, probe, "value")
 
 
+_HASH31 = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(n_name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296)"
+
+
+@query(f"SELECT n_name, least(h, 4294967296 - h) AS code FROM (SELECT n_name, {_HASH31} AS h FROM nation)")
+def string_hash(spark, d):
+    return table(spark, d, "nation").select("n_name", hashing.string_hash(F.col("n_name")).alias("code"))
+
+
+_UNSIGNED = _TOKENS.replace("string_split(text, ' ')", "string_split(regexp_replace(text, '[()|\\[\\]\",.!:;?]', '', 'g'), ' ')")
+
+
+@query("WITH " + _UNSIGNED + " SELECT word, count(*) AS n FROM words GROUP BY word")
+def word_counts_without_signs(spark, d):
+    return relational.word_counts(table(spark, d, "documents"), _stopwords(spark), without_signs=True)
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def exact_semi(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")

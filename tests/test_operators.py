@@ -85,10 +85,20 @@ def test_partitioned_scheme_of_all_sizes(spark):
     assert itemsets.son(df.limit(0), 1).count() == 0
 
 
+def java_hash(s):
+    h, raw = 0, s.encode("utf-16-be")
+    for i in range(0, len(raw), 2):
+        h = (31 * h + int.from_bytes(raw[i : i + 2], "big")) % 2**32
+    return h - 2**32 if h >= 2**31 else h
+
+
 def test_hash_functions(spark):
     assert [hashing.next_prime(x) for x in (10000, 0, 1)] == [10007, 1 + 1, 2]
     one = spark.createDataFrame([("Las Vegas",), ("Reno",), ("é",), ("",)], "s string").select("s", hashing.bytes_mod(F.col("s"), 10007).alias("m"))
     assert {r.s: r.m for r in one.collect()} == {s: int.from_bytes(s.encode(), "big") % 10007 for s in ("Las Vegas", "Reno", "é", "")}
+    codes = ["", "a", "ab", "Las Vegas", "polygenelubricants", "\U0001f600"]
+    got = {r.s: r.h for r in spark.createDataFrame([(s,) for s in codes], "s string").select("s", hashing.string_hash(F.col("s")).alias("h")).collect()}
+    assert got == {s: abs(java_hash(s)) for s in codes} and got["polygenelubricants"] == 2147483648
     assert [r[0] for r in spark.createDataFrame([(12,), (0,), (1,), (8,)], "h long").select(hashing.trailing_zeros(F.col("h"))).collect()] == [2, 1, 0, 3]
 
 
