@@ -104,30 +104,42 @@ def _in_time(symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _forward(m: Model, order: np.ndarray, bound: np.ndarray, symbol: np.ndarray, keep: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log10 likelihood of each text in order; with keep, also scaled state probabilities and scales by t."""
+    """Log10 likelihood of each text in order; with keep, also scaled state probabilities and scales by t.
+
+    States are scaled at every EVERY-th t, and at a text's end; in between a scale is 1.
+    """
     emit, one = np.ascontiguousarray(m.emit.T), np.ones(m.states)
     total = np.zeros(len(order))
     alpha = np.empty((len(symbol), m.states)) if keep else np.empty((0, m.states))
-    scale = np.empty(len(symbol)) if keep else np.empty(0)
+    scale = np.ones(len(symbol)) if keep else np.empty(0)
     a = np.empty((0, m.states))
     ends = bound.tolist()
     for t, (low, high) in enumerate(zip(ends, ends[1:])):
         n = high - low
-        e = emit.take(symbol[low:high], axis=0)
+        e = alpha[low:high] if keep else np.empty((n, m.states))
+        emit.take(symbol[low:high], axis=0, out=e, mode="clip")
         a = np.multiply(a[:n] @ m.step if t else m.start[None, :], e, out=e)
-        c = a @ one
-        a /= c[:, None]
-        if keep:
-            alpha[low:high], scale[low:high] = a, c
-        else:
-            total[:n] += np.log10(c)
-    if keep:
-        logs = np.log10(scale)
-        for low, high in zip(ends, ends[1:]):
-            total[: high - low] += logs[low:high]
+        first = _scaled_from(t, ends)
+        if first < n:
+            c = a[first:] @ one
+            a[first:] /= c[:, None]
+            total[first:n] += np.log10(c)
+            if keep:
+                scale[low + first : high] = c
     return total, alpha, scale
 
 
+EVERY = 8
+"""Steps between two scalings: the least probability of a symbol, some 1e-10, to this power is far above underflow."""
+
+
+def _scaled_from(t: int, ends: list[int]) -> int:
+    """The first of the texts at t that are scaled there: all at every EVERY-th t, else those that end."""
+    if t % EVERY == EVERY - 1:
+        return 0
+    return ends[t + 2] - ends[t + 1] if t + 2 < len(ends) else 0
+
+
 def _walk(m: Model, before: np.ndarray | None, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled state probabilities and scales of a segment of one text; before: those of the token before it."""
     emit = np.ascontiguousarray(m.emit.T)[symbol]
@@ -202,7 +214,9 @@ def expected(m: Model, symbol: np.ndarray, first: np.ndarray) -> Counts:
         low, n = ends[t], ends[t + 1] - ends[t]
         back = emit.take(by_time[low : low + n], axis=0)
         back *= b[:n]
-        back /= scale[low : low + n, None]
+        from_ = _scaled_from(t, ends)
+        if from_ < n:
+            back[from_:] /= scale[low + from_ : low + n, None]
         before = gamma[ends[t - 1] : ends[t - 1] + n]
         step += before.T @ back
         np.matmul(back, back_step, out=b[:n])

@@ -106,7 +106,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, limits: Limits) -> DataFrame:
-    """(host, line): hashes of lines with words that exceed the limits; ``docs``: (host, text)."""
+    """(host, line): hashes of lines with words that exceed the limits; ``docs``: (host, text, ...).
+
+    A null host is a host; a null text has no lines; equal texts of a host count once; no rows, no lines.
+    """
     fp = docs.select("host", "text", F.xxhash64("text").alias("fp"), F.octet_length("text").alias("size"))
     held = fp.select("host", "fp", "size", F.explode(F.array_distinct(_line_hashes(F.col("text")))).alias("line"))
     often = held.groupBy("host", "line").agg(F.count_distinct("fp", "size").alias("n")).filter(F.col("n") > limits.line_documents)
