@@ -44,7 +44,7 @@ def bytes_mod(text: Column, modulus: int) -> Column:
 def string_hash(text: Column) -> Column:
     """The absolute value of the 32-bit hash that the JVM's strings have: base 31 over UTF-16 units."""
     code = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(1), F.length(code) / 4), lambda i: F.conv(F.substring(code, i.cast("int") * 4 - 3, F.lit(4)), 16, 10).cast("bigint"))
+    units = F.transform(F.sequence(F.lit(1), (F.length(code) / 4).cast("int")), lambda i: F.conv(F.substring(code, i * 4 - 3, F.lit(4)), 16, 10).cast("bigint"))
     fold = F.aggregate(units, F.lit(0).cast("bigint"), lambda h, u: F.pmod(h * 31 + u, F.lit(1 << 32)).cast("bigint"))
     return F.when(text == "", F.lit(0).cast("bigint")).otherwise(F.least(fold, F.lit(1 << 32) - fold))
 

@@ -30,6 +30,8 @@ GRAPH_THRESHOLD = 7
 SUPPORT_PER_MILLE = (9, 2)
 """Support as a fraction of the baskets: 9 / 2 per thousand."""
 BFR_CHUNKS = 5
+SQL_SIZES = 7
+"""Largest itemsets that the SQL counts; the supports leave no larger ones in the tables tested.  The operators have no such bound."""
 
 
 def query(oracle: str | None = None):
@@ -130,7 +132,7 @@ def _itemset_sql() -> str:
     per, by = SUPPORT_PER_MILLE
     sql = _with("brand_baskets") + f", b AS (SELECT DISTINCT basket, item FROM brand_baskets), s AS (SELECT (count(DISTINCT basket) * {per} + {by * 1000 - 1}) // {by * 1000} AS least FROM b), found AS ("
     parts = []
-    for k in range(1, 6):
+    for k in range(1, SQL_SIZES + 1):
         joins = " ".join(f"JOIN b b{i} ON b{i}.basket = b0.basket AND b{i}.item > b{i - 1}.item" for i in range(1, k))
         items = ", ".join(f"b{i}.item" for i in range(k))
         parts.append(f"SELECT concat_ws(',', {items}) AS itemset, {k} AS size, count(*) AS freq FROM b b0 {joins} GROUP BY {items} HAVING count(*) >= (SELECT least FROM s)")
@@ -165,7 +167,7 @@ def itemset_report(spark, d):
 def _son_sql(parts: int) -> str:
     sql = _with("brand_baskets") + f", b AS (SELECT DISTINCT basket, item, basket % {parts} AS part FROM brand_baskets), s AS (SELECT (count(DISTINCT basket) * {SUPPORT_PER_MILLE[0]} + {SUPPORT_PER_MILLE[1] * 1000 - 1}) // {SUPPORT_PER_MILLE[1] * 1000} AS least, count(DISTINCT basket) AS total FROM b), z AS (SELECT part, count(DISTINCT basket) AS n FROM b GROUP BY part), found AS ("
     each = []
-    for k in range(1, 6):
+    for k in range(1, SQL_SIZES + 1):
         joins = " ".join(f"JOIN b b{i} ON b{i}.basket = b0.basket AND b{i}.item > b{i - 1}.item" for i in range(1, k))
         items = ", ".join(f"b{i}.item" for i in range(k))
         each.append(f"SELECT concat_ws(',', {items}) AS itemset, b0.part, count(*) AS freq FROM b b0 {joins} GROUP BY {items}, b0.part")
