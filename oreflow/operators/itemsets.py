@@ -22,18 +22,6 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("part", "itemset").agg(F.count(F.lit(1)).alias("freq"))
 
 
-def _candidates(last: DataFrame, size: int) -> DataFrame:
-    """(part, itemset) of ``size`` + 1 items: two frequent itemsets that differ in their last item, joined, where
-    all other itemsets of one item less are frequent too."""
-    side = lambda name: last.select("part", F.slice("itemset", 1, size - 1).alias("prefix"), F.col("itemset").alias(name))
-    grown = side("a").join(side("b"), ["part", "prefix"]).filter(F.element_at("a", -1) < F.element_at("b", -1)).select("part", F.concat("a", F.slice("b", size, 1)).alias("itemset"))
-    for i in range(size - 1):
-        less = last.select(F.col("part").alias("p"), F.col("itemset").alias("less"))
-        without = F.concat(F.slice("itemset", 1, i), F.slice("itemset", i + 2, size))
-        grown = grown.join(less, (F.col("part") == F.col("p")) & (without == F.col("less")), "left_semi")
-    return grown
-
-
 def _supports(candidates: DataFrame, rows: DataFrame, singles: DataFrame) -> DataFrame:
     """(part, itemset, freq) of candidates that some basket holds: baskets meet a candidate at its rarest item.
 
@@ -49,27 +37,21 @@ def _levels(rows: DataFrame, frequent: Callable[[DataFrame], DataFrame], most: i
     """(part, itemset, freq) of the frequent itemsets of each part of the baskets, size by size.
 
     ``rows``: (part, basket, items); ``frequent`` keeps rows of (part, itemset, freq), ``hot`` occurrences of
-    pairs that may be frequent.  Pairs are counted as they occur; larger itemsets as candidates.
+    pairs that may be frequent.  A level's occurrences are the last level's, extended by a greater frequent item
+    of the same basket, so only what contains a frequent itemset is formed.
     """
     long = rows.select("part", "basket", F.explode("items").alias("item"))
     last = kept(frequent(_counted(long.select("part", F.array("item").alias("itemset")))), "level")
-    singles, result, size = last.select("part", F.col("itemset")[0].alias("item"), "freq"), last, 1
-    live = kept(long.join(singles.select("part", "item"), ["part", "item"], "left_semi"), "items")
-    whole = live.groupBy("part", "basket").agg(F.collect_list("item").alias("items"))
+    live = kept(long.join(last.select("part", F.col("itemset")[0].alias("item")), ["part", "item"], "left_semi"), "items")
+    result, level, size = last, live.select("part", "basket", F.array("item").alias("itemset")), 1
     while most is None or size < most:
-        if size == 1:
-            pairs = live.alias("a").join(live.alias("b"), ["part", "basket"]).filter("a.item < b.item").select("part", F.array("a.item", "b.item").alias("itemset"))
-            counted = _counted(hot(pairs))
-        else:
-            candidates = kept(_candidates(last, size), "candidates")
-            if candidates.isEmpty():
-                break
-            whole = kept(whole, "baskets") if size == 2 else whole
-            counted = _supports(candidates, whole, singles)
-        last = kept(frequent(counted), "level")
+        grown = level.join(live, ["part", "basket"]).filter(F.col("item") > F.element_at("itemset", -1)).select("part", "basket", F.concat("itemset", F.array("item")).alias("itemset"))
+        grown = kept(hot(grown) if size == 1 else grown, "grown")
+        last = kept(frequent(_counted(grown)), "level")
         if last.isEmpty():
             break
         result, size = result.unionByName(last), size + 1
+        level = grown.join(last.select("part", "itemset"), ["part", "itemset"], "left_semi")
     return result
 
 
@@ -110,7 +92,7 @@ def son_candidates(basket_rows: DataFrame, support: int, parts: int = 4, buckets
     def hot(pairs: DataFrame) -> DataFrame:
         placed = pairs.withColumn("bucket", bucket_of_pair(F.col("itemset")[0].cast("string"), F.col("itemset")[1].cast("string"), buckets))
         counts = enough(placed.groupBy("part", "bucket").agg(F.count(F.lit(1)).alias("freq")))
-        return placed.join(F.broadcast(counts.select("part", "bucket")), ["part", "bucket"], "left_semi").select("part", "itemset")
+        return placed.join(F.broadcast(counts.select("part", "bucket")), ["part", "bucket"], "left_semi").select("part", "basket", "itemset")
 
     return _levels(rows, enough, most, hot).groupBy("itemset").agg(F.count(F.lit(1)).alias("n_parts"))
 
