@@ -39,7 +39,7 @@ MAX_ANCHORS = 200_000
 """Bound of the anchor set that is sent to all tasks; a larger benchmark is matched in parts of this size."""
 LEAST_TOKENS = 5
 """Shorter items are not matched, as any text may hold them; :func:`short_items` names them."""
-SAMPLE = 10_000
+SAMPLE = 2_000
 """Documents, about, that tell which tokens are rare; they decide on speed alone."""
 _IDEOGRAPH = r"[\u3040-\u30FA\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{2FA1F}]"
 """Han, Hiragana and Katakana by their code blocks: ranges are tested faster than scripts."""
