@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oreflow.functions import hashing
 from oreflow.functions.hashing import LCG_ACCEPT, LCG_SLOT, linear_family
-from oreflow.functions.storage import kept, new_path
+from oreflow.functions.storage import kept, new_path, settled
 from oreflow.operators import cluster, graph, itemsets, recommend, relational, sampling, similarity, sketch, text
 from oreflow.plans.datasets import SQL as VIEWS
 from oreflow.plans.datasets import brand_baskets, businesses, reviews, table
@@ -288,7 +288,7 @@ _GUESS = ", guess AS (SELECT user_id, business_id, sum(sim * s) / nullif(sum(abs
 
 @query(_with("supplier_reviews", rest=_ITEM_MODEL) + "SELECT id1, id2, sim FROM model")
 def item_cf_model(spark, d):
-    return recommend.cf_train(recommend.ratings_of(reviews(spark, d, "l_suppkey")), "item")
+    return recommend.cf_train(settled(recommend.ratings_of(reviews(spark, d, "l_suppkey")), "ratings"), "item")
 
 
 @query(_with("reviews", rest=_USER_MODEL) + "SELECT id1, id2, sim FROM model")
