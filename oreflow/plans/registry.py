@@ -298,15 +298,15 @@ def user_cf_model(spark, d):
 
 @query(_with("supplier_reviews", rest=_ITEM_MODEL + _MEANS + ", near_n AS (SELECT p.user_id, p.business_id, sim, r.stars AS s, row_number() OVER (PARTITION BY p.user_id, p.business_id ORDER BY sim DESC, id2) AS k FROM pairs p JOIN both_ways ON id1 = p.business_id JOIN rt r ON r.user_id = p.user_id AND r.business_id = id2)" + _GUESS) + "SELECT user_id, business_id, round(coalesce(guess, item_mean, user_mean), 6) AS stars FROM pairs LEFT JOIN um USING (user_id) LEFT JOIN im USING (business_id) LEFT JOIN guess USING (user_id, business_id)")
 def item_cf_predict(spark, d):
-    ratings = kept(recommend.ratings_of(reviews(spark, d, "l_suppkey")), "ratings")
-    model = kept(recommend.cf_train(ratings, "item"), "model")
+    ratings = settled(recommend.ratings_of(reviews(spark, d, "l_suppkey")), "ratings")
+    model = settled(recommend.cf_train(ratings, "item"), "model")
     return _rounded(recommend.cf_predict(ratings, model, ratings.select("user_id", "business_id"), "item"), 6)
 
 
 @query(_with("reviews", rest=_USER_MODEL + _MEANS + ", near_n AS (SELECT p.user_id, p.business_id, sim, r.stars - um.user_mean AS s, row_number() OVER (PARTITION BY p.user_id, p.business_id ORDER BY sim DESC, id2) AS k FROM pairs p JOIN both_ways ON id1 = p.user_id JOIN rt r ON r.business_id = p.business_id AND r.user_id = id2 JOIN um ON um.user_id = id2)" + _GUESS) + "SELECT user_id, business_id, round(coalesce(user_mean + guess, user_mean, item_mean), 6) AS stars FROM pairs LEFT JOIN um USING (user_id) LEFT JOIN im USING (business_id) LEFT JOIN guess USING (user_id, business_id)")
 def user_cf_predict(spark, d):
-    ratings = kept(recommend.ratings_of(reviews(spark, d)), "ratings")
-    model = kept(recommend.cf_train(ratings, "user", seed=USER_SEED), "model")
+    ratings = settled(recommend.ratings_of(reviews(spark, d)), "ratings")
+    model = settled(recommend.cf_train(ratings, "user", seed=USER_SEED), "model")
     return _rounded(recommend.cf_predict(ratings, model, ratings.select("user_id", "business_id"), "user"), 6)
 
 
